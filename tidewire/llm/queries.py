@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cooccur, groups, history_dedup, mixing, near_copies, textforms
+from . import cooccur, groups, history_dedup, langid, mixing, near_copies, packing, textforms
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,6 +101,20 @@ def p6_pairs(spark, d):
     )
 
 
+def _packed(spark, d):
+    return packing.pack_documents(read(spark, d, "documents"), read(spark, d, "pack_sizes"))[0]
+
+
+@query
+def p8_found(spark, d):
+    return _packed(spark, d).groupBy("pack_name", "doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("pack_name", "doc_id")
+
+
+@query
+def p8_report(spark, d):
+    return packing.packing_report(_packed(spark, d))
+
+
 def _mix(spark, d):
     return mixing.mix_to_targets(read(spark, d, "documents"), read(spark, d, "mix_targets"))
 
@@ -115,3 +129,18 @@ def p9_found(spark, d):
 def p9_shares(spark, d):
     _, shares, _ = _mix(spark, d)
     return shares.select("source", "target_share", "max_repeats", "available", "used", "copies", F.round("actual_share", 6).alias("actual_share"), "reachable")
+
+
+def _segments(spark, d):
+    documents = read(spark, d, "documents")
+    return langid.language_segments(documents, langid.fit_from_tables(read(spark, d, "lang_samples"), documents))
+
+
+@query
+def p10_found(spark, d):
+    return langid.relabelled(_segments(spark, d)).select("doc_id", "lang")
+
+
+@query
+def p10_segments(spark, d):
+    return _segments(spark, d).select("doc_id", "segment_no", "start", "length", "lang", "confidence", "sentences")
