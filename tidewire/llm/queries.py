@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cooccur, groups, history_dedup, langid, mixing, near_copies, packing, textforms
+from . import consensus, cooccur, groups, history_dedup, langid, markov, mixing, near_copies, packing, textforms
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,6 +84,21 @@ def p4_groups(spark, d):
     return found.select(F.col("node").alias("article_id"), F.col("group").alias("group_id"))
 
 
+def _clusters(spark, d):
+    return markov.similarity_clusters(read(spark, d, "article_vectors"))
+
+
+@query
+def p5_found(spark, d):
+    """Clusters of mutually similar articles; the graph's threshold is that of the cluster."""
+    return _clusters(spark, d)[0].select("article_id", "first_article_id")
+
+
+@query
+def p5_clusters(spark, d):
+    return _clusters(spark, d)[1]
+
+
 def _publishers(spark, d):
     return cooccur.items_together(read(spark, d, "articles_clustered"), cooccur.plain_host("publisher_domain"), F.col("event_cluster_id"))
 
@@ -101,6 +116,29 @@ def p6_pairs(spark, d):
     )
 
 
+def _consensus(spark, d):
+    features = ["item_type", "stratum_or_event", "context", "ai_note", "review_comment"]
+    return consensus.fit_consensus(read(spark, d, "human_review_flagged_17"), features)
+
+
+@query
+def p7_found(spark, d):
+    items, _, _ = _consensus(spark, d)
+    return items.filter("plain <> ai_label").select("reference", "consensus_label")
+
+
+@query
+def p7_items(spark, d):
+    items, _, _ = _consensus(spark, d)
+    rounded = (F.round(c, 4).alias(c) for c in ("confidence", "agreement"))
+    return items.select("reference", "consensus_label", *rounded, "n_labels", "ai_label")
+
+
+@query
+def p7_annotators(spark, d):
+    return _consensus(spark, d)[1]
+
+
 def _packed(spark, d):
     return packing.pack_documents(read(spark, d, "documents"), read(spark, d, "pack_sizes"))[0]
 
