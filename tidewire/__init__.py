@@ -1,0 +1 @@
+"""News-diffusion analytics on PySpark: ingest, cleaning, duplicate families, events, publisher graphs."""
