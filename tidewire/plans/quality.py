@@ -1 +1,205 @@
-"""Later."""
+"""Contract checks, unions, cleaning, profiles and manifests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..catalog import query, read
+from ..functions import times
+from ..operators import cleaning, contract, history, profile
+from .scalars import CANONICAL, _rule_sql
+
+OFFSET = "coalesce(regexp_matches({c}, '([Zz]|[+-]00:?00)$') and try_cast({c} as timestamptz) is not null, false)"
+EXACT_REF = "coalesce(contains(raw_payload_ref, '#raw_record_id=') and regexp_extract(raw_payload_ref, '([^=]*)$', 1) <> '', false)"
+RULES_SQL = {
+    "branch": "not coalesce(branch in ('domestic', 'international'), false)",
+    "collection_mode": "not coalesce(collection_mode in ('prospective', 'historical_backfill'), false)",
+    "timestamp_confidence": "not coalesce(timestamp_confidence in ('publisher_reported', 'publisher_reported_timezone_inferred', 'unavailable'), false)",
+    "first_seen_at": f"not {OFFSET.format(c='first_seen_at')}",
+    "published_at": f"published_at is not null and not {OFFSET.format(c='published_at')}",
+    "article_id": "trim(coalesce(article_id, '')) = ''",
+    "title": "trim(coalesce(title, '')) = ''",
+    "canonical_url": "trim(coalesce(canonical_url, '')) = ''",
+    "raw_payload_ref": f"not {EXACT_REF}",
+    "vietnam_relevance": "vietnam_relevance is null",
+    "duplicate_family_id": "duplicate_family_id is not null",
+}
+
+
+def _master(spark, d):
+    return read(spark, d, "articles_master")
+
+
+def _clustered(spark, d):
+    return read(spark, d, "articles_clustered")
+
+
+@query(" union all ".join(f"select '{name}' as rule, count(*) filter ({breaks}) as rows from articles_clustered" for name, breaks in RULES_SQL.items()))
+def contract_violations(spark, d):
+    return contract.violations(_clustered(spark, d), contract.row_rules())
+
+
+@query("select distinct timestamp_confidence as value from articles_master where not coalesce(timestamp_confidence in ('publisher_reported'), false) order by 1 limit 5")
+def violation_examples(spark, d):
+    """Up to five values of a rule that allows publisher-reported times only."""
+    breaks = ~F.coalesce(F.col("timestamp_confidence").isin("publisher_reported"), F.lit(False))
+    return contract.examples(_master(spark, d), "timestamp_confidence", breaks)
+
+
+@query(
+    """with n as (select article_id, count(*) as n from articles_master group by 1) select cast(sum(n) as bigint) as rows, cast(coalesce(sum(n) filter (article_id is null), 0) as bigint) as null_keys,
+       count(*) filter (article_id is not null and n > 1) as repeated_keys, cast(coalesce(sum(n - 1) filter (article_id is not null and n > 1), 0) as bigint) as rows_beyond_first from n"""
+)
+def dup_value_profile(spark, d):
+    return contract.uniqueness(_master(spark, d), "article_id")
+
+
+@query("select branch, article_id, canonical_url from articles_master")
+def master_build(spark, d):
+    """The branches validated, united and validated again."""
+    rows = _master(spark, d)
+    parts = [rows.filter(F.col("branch") == b) for b in ("domestic", "international")]
+    for part, b in zip(parts, ("domestic", "international")):
+        contract.require(part, contract.row_rules(b), b)
+    return parts[0].unionByName(parts[1]).select("branch", "article_id", "canonical_url")
+
+
+@query("select 'rows_lost' as rule, cast(0 as bigint) as rows union all select 'rows_added', 0 union all select 'no_event', count(*) filter (event_cluster_id is null) from articles_clustered union all select 'family_split', (select count(*) from (select duplicate_family_id from articles_clustered where duplicate_family_id is not null group by 1 having count(distinct event_cluster_id) > 1))")
+def output_problems(spark, d):
+    rows = _clustered(spark, d)
+    return contract.output_problems(rows.drop("event_cluster_id"), rows)
+
+
+@query("select count(*) as rows from articles_clustered")
+def content_fingerprint(spark, d):
+    """Row count of the fingerprint row; the fingerprint itself is Spark's own hash, tested for order."""
+    return contract.content_fingerprint(_clustered(spark, d)).select("rows")
+
+
+@query("select branch, category, count(*) as rows from articles_master group by 1, 2")
+def counts_by_group(spark, d):
+    return profile.counts_by(_master(spark, d), "branch", "category")
+
+
+@query("select coalesce(cast(vietnam_relevance as varchar), 'unknown') as value, count(*) as rows from articles_master group by 1")
+def tri_state_counts(spark, d):
+    return profile.tri_state(_master(spark, d), "vietnam_relevance")
+
+
+COLUMNS = ("article_id", "title", "publisher_domain", "published_at", "language", "publisher_country", "description", "category")
+
+
+@query(" union all ".join(f"select '{c}' as \"column\", count(*) filter ({c} is null) as nulls, count(distinct {c}) as \"distinct\" from articles_master" for c in COLUMNS))
+def dataset_profile(spark, d):
+    return profile.column_profile(_master(spark, d).select(*COLUMNS))
+
+
+@query("select publisher_domain as value, count(*) as n from articles_master group by 1 order by n desc, value nulls last limit 10")
+def top_publishers(spark, d):
+    return profile.top_values(_master(spark, d), "publisher_domain")
+
+
+@query(
+    """select count(*) as rows, count(*) filter (branch = 'domestic') as domestic, count(*) filter (branch = 'international') as international, count(distinct publisher_id) as publishers,
+              min(first_seen_at) as first_seen_min, max(first_seen_at) as first_seen_max from articles_master"""
+)
+def manifest_counts(spark, d):
+    return profile.manifest(_master(spark, d))
+
+
+@query("select article_id, first_seen_at from articles_clustered where try_cast(first_seen_at as timestamptz) >= '2026-03-10T00:00:00Z' and try_cast(first_seen_at as timestamptz) < '2026-04-10T00:00:00Z'")
+def window_filter(spark, d):
+    return _clustered(spark, d).filter(times.in_window(F.col("first_seen_at"), "2026-03-10T00:00:00Z", "2026-04-10T00:00:00Z")).select("article_id", "first_seen_at")
+
+
+@query("select article_id from articles_clustered where collection_mode = 'prospective' and try_cast(first_seen_at as timestamptz) >= '2026-03-10T00:00:00Z' and try_cast(first_seen_at as timestamptz) < '2026-03-12T00:00:00Z'")
+def pilot_window(spark, d):
+    return _clustered(spark, d).filter(times.in_pilot(F.col("collection_mode"), F.col("first_seen_at"), "2026-03-10T00:00:00Z")).select("article_id")
+
+
+STARTS = "starts as (select publisher_id_hint, min(observed_at) as started from payloads where publisher_id_hint is not null group by 1)"
+
+
+@query(f"with {STARTS} select article_id, try_cast(published_at as timestamptz) < try_cast(started as timestamptz) as is_pre_start from articles_clustered a left join starts s on s.publisher_id_hint = a.publisher_id")
+def is_pre_start(spark, d):
+    starts = read(spark, d, "payloads").filter("publisher_id_hint is not null").groupBy(F.col("publisher_id_hint").alias("publisher_id")).agg(F.min("observed_at").alias("started"))
+    rows = _clustered(spark, d).select("article_id", "publisher_id", "published_at").join(starts, "publisher_id", "left")
+    return rows.select("article_id", times.is_pre_start(F.col("published_at"), F.col("started")).alias("is_pre_start"))
+
+
+@query("select 'domestic' as branch, 'collector' as collector_host, source_locator as feed_url, min(observed_at) as feed_started_at, min(publisher_id_hint) as publisher_id_hint from payloads group by source_locator")
+def feed_state_flatten(spark, d):
+    """A nested state map built from the payloads, flattened again."""
+    feeds = read(spark, d, "payloads").groupBy("source_locator").agg(F.struct(F.min("observed_at").alias("feed_started_at"), F.min("publisher_id_hint").alias("publisher_id_hint")).alias("f"))
+    entry = F.map_from_entries(F.collect_list(F.struct("source_locator", "f")))
+    state = feeds.agg(F.create_map(F.lit("domestic"), F.create_map(F.lit("collector"), entry)).alias("state"))
+    return profile.flatten_feed_state(state)
+
+
+def _ref():
+    return F.concat(F.lit("log#raw_record_id="), "raw_record_id")
+
+
+BODY = "coalesce(nullif(payload.summary, ''), nullif(payload.description, ''), '')"
+FIRST = "first as (select *, row_number() over (partition by entry_key order by observed_at, raw_record_id) as k from payloads)"
+CLEAN = rf"""{FIRST}, seen_at as (select entry_key, min(observed_at) as f from sightings group by 1),
+base as (select trim(coalesce(payload.link, '')) as url, trim(coalesce(payload.title, '')) as title, trim(regexp_replace({BODY}, '<[^>]+>', ' ', 'g')) as description, 'log#raw_record_id=' || raw_record_id as raw_payload_ref,
+         coalesce(f, observed_at) as first_seen_at, publisher_id_hint from first left join seen_at using (entry_key) where k = 1),
+canon as (select *, {CANONICAL} as canonical_url from base),
+ruled as (select *, title || ' ' || description as text from canon)"""
+
+
+@query(
+    f"""with {CLEAN} select raw_payload_ref, case when canonical_url <> '' then substr(sha256(canonical_url), 1, 16) end as article_id, nullif(title, '') as title, nullif(canonical_url, '') as canonical_url, nullif(description, '') as description,
+        strftime(timezone('UTC', try_cast(first_seen_at as timestamptz)), '%Y-%m-%dT%H:%M:%SZ') as first_seen_at, nullif(trim(publisher_id_hint), '') as publisher_id,
+        nullif(concat_ws(';', case when title = '' then 'missing_title' end, case when canonical_url = '' then 'invalid_url' end), '') as rejection_reason,
+        {_rule_sql().replace('url,', 'canonical_url,')} not in (0, 9, 13, 14, 15, 16, 17) as vietnam_relevance from ruled"""
+)
+def clean_domestic(spark, d):
+    """Candidates of the domestic branch cleaned to audit rows."""
+    rows = history.candidates(read(spark, d, "payloads"), read(spark, d, "sightings"), _ref(), "domestic")
+    audit = cleaning.clean_domestic(rows)
+    return audit.select("raw_payload_ref", "article_id", "title", "canonical_url", "description", "first_seen_at", "publisher_id", "rejection_reason", "vietnam_relevance")
+
+
+@query(f"with {CLEAN} select coalesce(nullif(concat_ws(';', case when title = '' then 'missing_title' end, case when canonical_url = '' then 'invalid_url' end), ''), 'accepted') as reason, count(*) as rows from ruled group by 1")
+def rejection_reasons(spark, d):
+    rows = history.candidates(read(spark, d, "payloads"), read(spark, d, "sightings"), _ref(), "domestic")
+    return cleaning.clean_domestic(rows).groupBy(F.coalesce("rejection_reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("rows"))
+
+
+
+
+@query(
+    f"""with s as (select distinct title, url, first_seen_at, published_at, timestamp_confidence, raw_payload_ref, description, source_system, collection_mode, {CANONICAL.replace("'gidzl', ", "")} as canonical from articles_master where branch = 'international')
+        select raw_payload_ref, case when canonical <> '' then substr(sha256(canonical), 1, 16) end as article_id, nullif(canonical, '') as canonical_url, nullif(trim(coalesce(title, '')), '') as title,
+               case when source_system = 'gdelt_doc' or try_cast(published_at as timestamptz) is null then 'unavailable' when timestamp_confidence in ('publisher_reported', 'publisher_reported_timezone_inferred') then timestamp_confidence else 'publisher_reported' end as timestamp_confidence,
+               case when source_system <> 'gdelt_doc' then strftime(timezone('UTC', try_cast(published_at as timestamptz)), '%Y-%m-%dT%H:%M:%SZ') end as published_at from s"""
+)
+def clean_international(spark, d):
+    """International rows cleaned to audit rows."""
+    columns = ["title", "url", "first_seen_at", "published_at", "timestamp_confidence", "raw_payload_ref", "description", "source_system", "collection_mode"]
+    rows = _master(spark, d).filter("branch = 'international'").select(*columns).distinct()
+    none = F.lit(None).cast("string")
+    rows = rows.withColumns({c: none for c in ("publisher_domain", "publisher_id", "publisher_group_id", "publisher_country", "language", "category", "source_seen_at")})
+    return cleaning.clean_international(rows).select("raw_payload_ref", "article_id", "canonical_url", "title", "timestamp_confidence", "published_at")
+
+
+@query(
+    f"""with {CLEAN}, good as (select *, {_rule_sql().replace('url,', 'canonical_url,')} not in (0, 9, 13, 14, 15, 16, 17) as ok, strftime(timezone('UTC', try_cast(first_seen_at as timestamptz)), '%Y-%m-%dT%H:%M:%SZ') as t from ruled where title <> '' and canonical_url <> ''
+                   and try_cast(first_seen_at as timestamptz) >= '2026-03-01T00:00:00Z' and try_cast(first_seen_at as timestamptz) < '2026-06-01T00:00:00Z'),
+        k as (select *, row_number() over (partition by canonical_url order by t, raw_payload_ref) as n from good where ok) select canonical_url, raw_payload_ref, t as first_seen_at from k where n = 1"""
+)
+def snapshot_relevant(spark, d):
+    """Relevant articles of one branch first seen within three months, one row per canonical address."""
+    rows = history.candidates(read(spark, d, "payloads"), read(spark, d, "sightings"), _ref(), "domestic")
+    found, _ = cleaning.snapshot(rows, "domestic", "2026-03-01T00:00:00Z", "2026-06-01T00:00:00Z")
+    return found.select("canonical_url", "raw_payload_ref", "first_seen_at")
+
+
+@query("select 'customer' as source, c_nationkey as nation, count(*) as rows from customer group by 2 union all select 'supplier', s_nationkey, count(*) from supplier group by 2")
+def union_contract(spark, d):
+    """Two tables of different columns united by name with a discriminator."""
+    a = read(spark, d, "customer").select(F.lit("customer").alias("source"), F.col("c_nationkey").alias("nation"))
+    b = read(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.lit("supplier").alias("source"))
+    return a.unionByName(b).groupBy("source", "nation").agg(F.count("*").alias("rows"))
