@@ -220,13 +220,13 @@ def relevance_terms(spark, d):
 
 
 @query(
-    """select event_id, json_extract_string(props, '$.page') as page, json_extract_string(props, '$.ref') as ref, props is null or not json_valid(props) as invalid from events"""
+    """select event_id, json_extract_string(props, '$.k') as k, json_extract_string(props, '$.none') as missing, props is null or not json_valid(props) as invalid from events"""
 )
 def json_props(spark, d):
     rows = read(spark, d, "events")
     parsed = F.expr("try_parse_json(props)")
     get = lambda k: F.get_json_object("props", f"$.{k}")
-    return rows.select("event_id", get("page").alias("page"), get("ref").alias("ref"), parsed.isNull().alias("invalid"))
+    return rows.select("event_id", get("k").alias("k"), get("none").alias("missing"), parsed.isNull().alias("invalid"))
 
 
 @query(
