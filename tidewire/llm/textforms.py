@@ -129,6 +129,8 @@ class ClusterTransducer:
             f"|[^{hang}{blanks}]?[{hang}]+"
             f"|[{_class(firsts)}]"
         )
+        # most texts hold nothing to rewrite: one class search tells
+        self._any = re.compile(f"[{hang}{odd}{_class(firsts)}]|[ ](?=[ {invisible}])")
         self._pictographs = re.compile(f"[{pictographs}]")
         self._memo: dict[str, str] = {}
         for key, out in mapping.items():
@@ -165,7 +167,7 @@ class ClusterTransducer:
             if not trim:
                 return text
             return " ".join(_ASCII_INVISIBLE.sub("", text).split())
-        out = self._finder.sub(lambda m: self._rewrite(m.group()), text)
+        out = self._finder.sub(lambda m: self._rewrite(m.group()), text) if self._any.search(text) else text
         return out.strip(" ") if trim else out
 
 
