@@ -56,7 +56,7 @@ def publisher_time(text: Column, zone: Column | None = None) -> tuple[Column, Co
     The usual formats are read in the JVM, the rest by a lenient parser.
     """
     zone = F.lit(DOMESTIC_ZONE) if zone is None else zone
-    s = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3,9},?\s+(?=\d)", "")
+    s = F.regexp_replace(F.trim(text), r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
     offset = s.rlike(r"\d[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:Z|[+-]\d{2}:?\d{2})$")
     zoned = F.coalesce(*(F.try_to_timestamp(s, F.lit(p)) for p in ZONED), F.when(offset, F.try_to_timestamp(s)))
     naive = F.coalesce(*(F.when(zoned.isNull(), F.try_to_timestamp(s, F.lit(p))) for p in UNZONED))
