@@ -50,7 +50,8 @@ _LINK = re.compile(r"(?:https?://|www\.)\S+|[#@]\S+|©.*|\S+@\S+\.\S+")
 _QUOTED = re.compile(r"[“\"«„「『(（\[‘][^”\"»“」』)）\]’]{1,80}[”\"»“」』)）\]’]")
 _WORD = re.compile(r"[^\W\d_]+")
 _HAN = re.compile(r"[぀-ヿ㐀-䶿一-鿿]")
-_NAMES = re.compile(r"(?<!^)(?<![.!?:] )\b[^\W\d_a-z]\w*(?: [^\W\d_a-z]\w*)+")
+_LINK_SIGN = re.compile(r"//|www\.|[#@©]")
+_QUOTE_SIGN = re.compile(r"[“\"«„「『(（\[‘]")
 
 
 def label_code(label: str | None) -> str | None:
@@ -83,14 +84,23 @@ def sentences(text: str | None) -> Iterator[tuple[int, int, str]]:
 
 
 def scored_text(raw: str) -> str | None:
-    """The part of a sentence that tells its language, None if it is no full sentence."""
-    s = _LINK.sub(" ", same_form(raw))
-    outside = _QUOTED.sub(lambda m: " " if short(m.group()) else m.group(), s)
-    if len(_HAN.findall(outside)) < 5:
-        if sum(w[0].islower() for w in _WORD.findall(outside)) < 3:
+    """The part of a sentence that tells its language, None if it is no full sentence.
+
+    Of neighbouring words with a capital, all but a first word of the sentence are taken for names.
+    """
+    s = same_form(raw)
+    if _LINK_SIGN.search(s):
+        s = _LINK.sub(" ", s)
+    if _QUOTE_SIGN.search(s):
+        s = _QUOTED.sub(lambda m: " " if short(m.group()) else m.group(), s)
+    found = _WORD.findall(s)
+    if len(_HAN.findall(s)) < 5:
+        small = [w[0].islower() for w in found]
+        if sum(small) < 3:
             return None
-        outside = _NAMES.sub(" ", outside)
-    return " ".join(re.sub(r"[\d\W_]+", " ", outside).lower().split()) or None
+        known = [True, *small, True]  # the ends of a sentence are no names
+        found = [w for k, w in enumerate(found) if k == 0 or small[k] or (known[k] or k == 1) and known[k + 2]]
+    return " ".join(found).lower() or None
 
 
 def short(phrase: str) -> bool:
