@@ -67,16 +67,14 @@ def classes_and_sketch(records: DataFrame, fields: list[str], scratch: Scratch)
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             names = []
-            for pairs in _tokens(batch, fields):
-                names.append(class_key(pairs) if len(pairs) else (None, None))
-                # distinct within a record only up to the place: counting twice errs upwards
-                np.add.at(counts, sketch_place(pairs), 1)
-            out = pd.DataFrame(names, columns=["hi", "lo"], dtype="Int64")
-            out.insert(0, "record_id", batch["record_id"].to_numpy())
-            out["kind"] = 0
-            yield out.dropna()
+            for record, pairs in zip(batch["record_id"], _tokens(batch, fields)):
+                if len(pairs):
+                    names.append((record, *class_key(pairs), 0))
+                    # distinct within a record only up to the place: counting twice errs upwards
+                    np.add.at(counts, sketch_place(pairs), 1)
+            yield pd.DataFrame(names, columns=["record_id", "hi", "lo", "kind"])
         at = np.flatnonzero(counts)
-        yield pd.DataFrame({"record_id": None, "hi": at, "lo": counts[at], "kind": 1}).astype({"hi": "Int64", "lo": "Int64"})
+        yield pd.DataFrame({"record_id": None, "hi": at, "lo": counts[at], "kind": 1})
 
     both = scratch.table(records.mapInPandas(one_pass, "record_id string, hi long, lo long, kind int"))
     sums = both.filter("kind = 1").groupBy("hi").agg(F.sum("lo").alias("n")).toPandas()  # at most 2**SKETCH_BITS rows
@@ -184,8 +182,9 @@ def near_copies(records: DataFrame, id_column: str, fields: list[str], threshold
 def with_class(records: DataFrame, fields: list[str]) -> DataFrame:
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = [class_key(p) if len(p) else (None, None) for p in _tokens(batch, fields)]
-            yield batch.assign(hi=pd.array([k[0] for k in keys], "Int64"), lo=pd.array([k[1] for k in keys], "Int64"))
+            # plain integers: a column with nulls would pass through floats
+            keys = [class_key(p) for p in _tokens(batch, fields)]
+            yield batch.assign(hi=np.array([k[0] for k in keys], np.int64), lo=np.array([k[1] for k in keys], np.int64))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in records.schema) + ", hi long, lo long"
     return records.mapInPandas(name, schema)
