@@ -67,7 +67,11 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def word_pair_hashes(tokens: Sequence[str]) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct two-word sequences; one word alone has none."""
     w = word_hashes(tokens)
-    return np.unique(mix(w[:-1], w[1:])) if len(w) > 1 else np.empty(0, np.uint64)
+    if len(w) < 2:
+        return np.empty(0, np.uint64)
+    pairs = mix(w[:-1], w[1:])
+    pairs.sort()
+    return pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))]
 
 
 def parity_map(keys: np.ndarray, longs: int = 3) -> np.ndarray:
