@@ -126,11 +126,12 @@ class ClusterTransducer:
         self._finder = re.compile(
             f"[{pictographs}][\ufe0f\U0001f3fb-\U0001f3ff]*(?:{ZWJ}[{pictographs}][\ufe0f\U0001f3fb-\U0001f3ff]*)+"
             f"|(?:[{invisible}]*(?:[{odd}]|[ ](?=[{blanks}{invisible}])))[{blanks}{invisible}]*"
+            "|[\u1100-\u1112][\u1161-\u1175][\u11a8-\u11c2]?|[\uac00-\ud7a3][\u11a8-\u11c2]"  # syllables in parts
             f"|[^{hang}{blanks}]?[{hang}]+"
             f"|[{_class(firsts)}]"
         )
         # most texts hold nothing to rewrite: one class search tells
-        self._any = re.compile(f"[{hang}{odd}{_class(firsts)}]|[ ](?=[ {invisible}])")
+        self._any = re.compile(f"[{hang}{odd}{_class(firsts)}\u1100-\u11ff]|[ ](?=[ {invisible}])")
         self._pictographs = re.compile(f"[{pictographs}]")
         self._memo: dict[str, str] = {}
         for key, out in mapping.items():
@@ -180,7 +181,7 @@ def transducer() -> ClusterTransducer:
     points = [chr(p) for p in (*range(0x80, 0xD800), *range(0xE000, 0x10000), *range(0x1F000, 0x1FB00), *range(0xE0000, 0xE0200))]
     assigned = [c for c in points if unicodedata.category(c) not in ("Cn", "Co", "Cs")]
     controls = [chr(p) for p in range(0x20) if not chr(p).isspace()] + ["\x7f"]
-    marks = "".join(c for c in assigned if unicodedata.category(c) in ("Mn", "Me") and not is_invisible(c))
+    marks = "".join(c for c in assigned if unicodedata.category(c) in ("Mn", "Mc", "Me") and not is_invisible(c))
     invisible = "".join(c for c in (*assigned, *controls) if is_invisible(c))
     blanks = "".join(c for c in (*map(chr, range(0x21)), *assigned) if is_blank(c))
     pictographs = "\u203c\u2049\u2122\u2139\u2190-\u21ff\u2300-\u23ff\u2600-\u27bf\u2900-\u297f\u2b00-\u2bff\U0001f000-\U0001f3fa\U0001f400-\U0001faff"
