@@ -85,20 +85,72 @@ class Model:
     confusion: list[np.ndarray] = field(default_factory=list)  # per class list: log P [annotator, true, given]
     weights: list[np.ndarray] = field(default_factory=list)  # per class list: [FEATURES, class]
 
-    def posteriors(self, batch: pd.DataFrame) -> Iterator[tuple[int, int, tuple[str, ...], np.ndarray, np.ndarray, np.ndarray]]:
-        """(row, class list, classes, active features, prior, posterior) of each item."""
-        for row, (classes, features, votes) in enumerate(zip(batch["classes"], batch["features"], batch["votes"])):
-            names = tuple(classes)
-            at = self.classes[names]
-            active = np.concatenate(([0], np.asarray(features, np.int64))) if features is not None else np.zeros(1, np.int64)
-            logit = self.weights[at][active].sum(0)
-            prior = np.exp(logit - logit.max())
-            prior /= prior.sum()
-            evidence = np.log(prior)
-            for v in votes:
-                evidence = evidence + v["n"] * self.confusion[at][self.annotators[v["annotator"]], :, names.index(v["label"])]
-            post = np.exp(evidence - evidence.max())
-            yield row, at, names, active, prior, post / post.sum()
+    def posteriors(self, batch: pd.DataFrame) -> Iterator["Scored"]:
+        """The items of a coded batch, one class list after the other."""
+        place = batch["place"].to_numpy()
+        for k in range(len(self.weights)):
+            rows = np.flatnonzero(place == k)
+            if not len(rows):
+                continue
+            own = batch.iloc[rows]
+            feature_of, feature = _flat(own["features"])
+            vote_of, annotator = _flat(own["annotators"])
+            given, n = _flat(own["given"])[1], _flat(own["n"])[1].astype(np.float64)
+            logit = np.repeat(self.weights[k][:1], len(rows), 0)
+            np.add.at(logit, feature_of, self.weights[k][feature])
+            evidence = logit.copy()
+            np.add.at(evidence, vote_of, n[:, None] * self.confusion[k][annotator, :, given])
+            yield Scored(k, rows, _softmax(logit), _softmax(evidence), feature_of, feature, vote_of, annotator, given, n)
+
+
+@dataclass
+class Scored:
+    place: int
+    rows: np.ndarray
+    prior: np.ndarray
+    post: np.ndarray
+    feature_of: np.ndarray
+    feature: np.ndarray
+    vote_of: np.ndarray
+    annotator: np.ndarray
+    given: np.ndarray
+    n: np.ndarray
+
+
+def _flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(item, value) of every entry of a column of arrays; null is an empty array."""
+    filled = [x if x is not None else () for x in lists]
+    size = np.fromiter(map(len, filled), np.int64, len(filled))
+    return np.repeat(np.arange(len(filled)), size), np.concatenate([np.asarray(x) for x in filled if len(x)] or [np.empty(0, np.int64)])
+
+
+def _softmax(logit: np.ndarray) -> np.ndarray:
+    e = np.exp(logit - logit.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+CODED = "reference string, place int, features array<int>, annotators array<int>, given array<int>, n array<double>"
+
+
+def _coded(annotators: dict[str, int], lists: list[tuple[str, ...]]):
+    """Items with annotators, labels and class lists as numbers, once for all rounds."""
+    place = {c: k for k, c in enumerate(lists)}
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            names = [tuple(c) for c in batch["classes"]]
+            yield pd.DataFrame(
+                {
+                    "reference": batch["reference"],
+                    "place": [place[c] for c in names],
+                    "features": batch["features"],
+                    "annotators": [[annotators[v["annotator"]] for v in votes] for votes in batch["votes"]],
+                    "given": [[c.index(v["label"]) for v in votes] for c, votes in zip(names, batch["votes"])],
+                    "n": [[v["n"] for v in votes] for votes in batch["votes"]],
+                }
+            )
+
+    return code
 
 
 SUMS = "kind string, place int, a int, b int, c int, value double"
@@ -106,17 +158,20 @@ SUMS = "kind string, place int, a int, b int, c int, value double"
 
 def _partial_sums(model: Model):
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = [np.zeros_like(c) for c in model.confusion]
+        counts = [np.zeros_like(c).transpose(0, 2, 1).copy() for c in model.confusion]  # [annotator, given, true]
         grads = [np.zeros_like(w) for w in model.weights]
         seen = [np.zeros(len(w)) for w in model.weights]
         for batch in batches:
-            for row, at, names, active, prior, post in model.posteriors(batch):
-                np.add.at(grads[at], active, post - prior)
-                np.add.at(seen[at], active, len(active))
-                for v in batch["votes"].iloc[row]:
-                    counts[at][model.annotators[v["annotator"]], :, names.index(v["label"])] += v["n"] * post
+            for s in model.posteriors(batch):
+                apart = s.post - s.prior
+                active = np.bincount(s.feature_of, minlength=len(s.rows)) + 1.0
+                grads[s.place][0] += apart.sum(0)
+                seen[s.place][0] += active.sum()
+                np.add.at(grads[s.place], s.feature, apart[s.feature_of])
+                np.add.at(seen[s.place], s.feature, active[s.feature_of])
+                np.add.at(counts[s.place], (s.annotator, s.given), s.n[:, None] * s.post[s.vote_of])
         for k in range(len(counts)):
-            for kind, array in (("confusion", counts[k]), ("gradient", grads[k]), ("seen", seen[k])):
+            for kind, array in (("confusion", counts[k].transpose(0, 2, 1)), ("gradient", grads[k]), ("seen", seen[k])):
                 where = np.nonzero(array)
                 index = [*where, *[np.zeros(len(where[0]), np.int64)] * (3 - len(where))]
                 yield pd.DataFrame({"kind": kind, "place": k, "a": index[0], "b": index[1], "c": index[2], "value": array[where]})
@@ -162,13 +217,14 @@ def fit_consensus(sheet: DataFrame, feature_columns: list[str], rounds: int = RO
         raise ValueError(f"more than {MOST_ANNOTATORS} annotators")
     lists = [tuple(r[0]) for r in items.select("classes").distinct().orderBy("classes").collect()]
     model = Model({a: k for k, a in enumerate(names)}, {c: k for k, c in enumerate(lists)})
+    coded = scratch.table(items.mapInPandas(_coded(model.annotators, lists), CODED))
     model.weights = [np.zeros((FEATURES, len(c))) for c in lists]
     # start: every annotator right in seven of ten
     start = [np.where(np.eye(len(c), dtype=bool), 0.7, 0.3 / max(1, len(c) - 1))[None].repeat(len(names), 0) for c in lists]
     model.confusion = [np.log(s / s.sum(2, keepdims=True)) for s in start]
     counts = start
     for _ in range(rounds if lists else 0):
-        sums = items.mapInPandas(_partial_sums(model), SUMS).groupBy("kind", "place", "a", "b", "c").agg(F.sum("value").alias("value")).toPandas()
+        sums = coded.mapInPandas(_partial_sums(model), SUMS).groupBy("kind", "place", "a", "b", "c").agg(F.sum("value").alias("value")).toPandas()
         counts = [np.zeros_like(c) for c in model.confusion]
         grads, seen = [np.zeros_like(w) for w in model.weights], [np.zeros(FEATURES) for _ in lists]
         for kind, into in (("confusion", counts), ("gradient", grads), ("seen", seen)):
@@ -193,15 +249,17 @@ def fit_consensus(sheet: DataFrame, feature_columns: list[str], rounds: int = RO
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for row, _, labels, _, _, post in final.posteriors(batch):
-                best = int(np.argmax(post.round(12)))
-                given = batch["votes"].iloc[row]
-                n = sum(v["n"] for v in given)
-                out.append((batch["reference"].iloc[row], labels[best], float(post[best]), sum(v["n"] for v in given if v["label"] == labels[best]) / n, n))
-            yield pd.DataFrame(out, columns=["reference", "plain", "confidence", "agreement", "n_labels"])
-
-    decided = items.mapInPandas(decide, "reference string, plain string, confidence double, agreement double, n_labels double")
+            for s in final.posteriors(batch):
+                best = s.post.round(12).argmax(1)
+                total, same = np.zeros(len(s.rows)), np.zeros(len(s.rows))
+                np.add.at(total, s.vote_of, s.n)
+                np.add.at(same, s.vote_of, s.n * (s.given == best[s.vote_of]))
+                labels = np.array(lists[s.place], object)
+                yield pd.DataFrame(
+                    {"reference": batch["reference"].to_numpy()[s.rows], "plain": labels[best], "confidence": s.post[np.arange(len(best)), best], "agreement": same / total, "n_labels": total}
+                )
+
+    decided = coded.mapInPandas(decide, "reference string, plain string, confidence double, agreement double, n_labels double")
     spelling = (
         sheet.filter("reference is not null")
         .select("reference", F.explode(F.split("allowed_human_labels", "/")).alias("s"))
