@@ -232,6 +232,26 @@ def test_markov_flow_splits_two_cliques_with_a_bridge(spark):
     assert len({found[a] for a in left}) == 1 and len({found[a] for a in right}) == 1 and found[2] != found[12]
 
 
+def flow_clusters(spark, members, apart):
+    """Clusters of indices with ``members[k]`` twins each, all joined but the pairs ``apart``."""
+    ids = range(len(members))
+    entries = [(c, r, members[r], 1.0) for c in ids for r in ids if (c, r) not in apart and (r, c) not in apart]
+    scratch = markov.Scratch(spark, "still")
+    first = scratch.table(markov._normalised(spark.createDataFrame(entries, "col long, row long, mr long, p double")))
+    found, _ = groups.connected_groups(markov._links(markov._still(first, scratch)), "x", "y")
+    group = {r["node"]: r["group"] for r in found.collect()}
+    return len({group.get(k, k) for k in ids})
+
+
+def test_large_near_cliques_stay_whole(spark):
+    # 1,500 members, each without an edge to 50 others
+    assert flow_clusters(spark, [50] * 30, {(k, k + 1) for k in range(0, 30, 2)}) == 1
+    # 11,000 members, 100 of them with one missing edge
+    assert flow_clusters(spark, [1] * 100 + [10_900], {(k, k + 1) for k in range(0, 100, 2)}) == 1
+    # two large cliques that a twentieth of one side's members join stay apart
+    assert flow_clusters(spark, [1_000, 50, 50, 1_000], {(0, 2), (0, 3), (1, 3)}) == 2
+
+
 def test_hot_buckets_are_split(spark, monkeypatch):
     rows = blobs(2, [40, 3])
     df = spark.createDataFrame([(i, v) for i, _, v in rows], "article_id string, embedding array<float>")

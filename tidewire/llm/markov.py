@@ -15,6 +15,7 @@ strongest flow, then the nearest to the cluster's mean, represent them.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +30,13 @@ from .scratch import Scratch
 
 THRESHOLD = 0.8
 INFLATION = 2.0
+#: Entries are judged against the largest of their column, which shrinks with the size of a cluster: below
+#: PRUNE of it they go (unless their members together hold PRUNE of the column), the flow is still when no entry
+#: moves by STILL of it, and rows within TIE of it are equal.
 PRUNE = 1e-4
 STILL = 1e-3
-ROUNDS = 40
+TIE = 1e-6
+LEAST_ROUNDS, ROUNDS = 3, 40
 SEED = 20
 #: Chance that a pair exactly at a cosine of 0.8 shares a cross-polytope value, and the share of such
 #: pairs that all tables together may miss.
@@ -178,10 +183,21 @@ def markov_flow(edges: DataFrame, scratch: Scratch, inflation: float = INFLATION
     current = scratch.table(_normalised(entries))
     alone = current.groupBy("col").agg(F.count("*").alias("rows")).filter("rows = 1").select("col")
     settled = scratch.table(current.join(alone, "col", "left_semi"))
-    current = scratch.table(current.join(alone, "col", "left_anti"))
-    for _ in range(ROUNDS):
-        if current.isEmpty():
-            break
+    final = settled.unionByName(_still(scratch.table(current.join(alone, "col", "left_anti")), scratch, inflation))
+    systems, _ = connected_groups(_links(final), "x", "y")
+    flow = final.join(heads.select(F.col("lump").alias("col"), F.col("m").alias("mc")), "col").groupBy("row").agg(F.sum(F.col("p") * F.col("mc")).alias("flow"))
+    return (
+        to_lump.join(systems.select(F.col("node").alias("lump"), "group"), "lump", "left")
+        .join(flow.withColumnRenamed("row", "lump"), "lump", "left")
+        .select("node", F.coalesce("group", "lump").alias("attractor"), F.coalesce("flow", F.lit(0.0)).alias("flow"))
+    )
+
+
+def _still(current: DataFrame, scratch: Scratch, inflation: float = INFLATION) -> DataFrame:
+    """The matrix (col, row, mr, p) after squaring and inflation until nothing moves."""
+    if current.isEmpty():
+        return current
+    for done in range(1, ROUNDS + 1):
         onward = current.select(F.col("row").alias("mid"), "col", F.col("mr").alias("mm"), F.col("p").alias("q"))
         squared = (
             current.select(F.col("col").alias("mid"), "row", "mr", "p")
@@ -191,24 +207,30 @@ def markov_flow(edges: DataFrame, scratch: Scratch, inflation: float = INFLATION
         )
         inflated = _normalised(squared.withColumn("p", F.pow("p", F.lit(inflation))))
         top = inflated.groupBy("col").agg(F.max("p").alias("top"))
-        kept = inflated.join(top, "col").filter((F.col("p") * F.col("mr") >= PRUNE) | (F.col("p") >= F.col("top"))).drop("top")
+        kept = inflated.join(top, "col").filter((F.col("p") * F.col("mr") >= PRUNE) | (F.col("p") >= PRUNE * F.col("top"))).drop("top")
         following = scratch.table(_normalised(kept))
         old = current.select("col", "row", F.col("p").alias("was"))
-        moved = following.join(old, ["col", "row"], "full").agg(F.max(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("was", F.lit(0.0)))).alias("d")).head()["d"]
+        peak = following.groupBy("col").agg(F.max("p").alias("peak"))
+        change = F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))) / F.col("peak")
+        moved = following.join(old, ["col", "row"], "full").join(peak, "col").agg(F.max(change).alias("d")).head()["d"]
         scratch.drop(current)
         current = following
-        if moved < STILL:
-            break
-    final = settled.unionByName(current)
-    attractor = final.groupBy("col").agg(F.max_by("row", F.struct("p", -F.col("row"))).alias("to"))
-    links = attractor.select(F.col("col").alias("x"), F.col("to").alias("y"))
-    systems, _ = connected_groups(links, "x", "y")
-    flow = final.join(heads.select(F.col("lump").alias("col"), F.col("m").alias("mc")), "col").groupBy("row").agg(F.sum(F.col("p") * F.col("mc")).alias("flow"))
-    return (
-        to_lump.join(systems.select(F.col("node").alias("lump"), "group"), "lump", "left")
-        .join(flow.withColumnRenamed("row", "lump"), "lump", "left")
-        .select("node", F.coalesce("group", "lump").alias("attractor"), F.coalesce("flow", F.lit(0.0)).alias("flow"))
-    )
+        if done >= LEAST_ROUNDS and moved < STILL:
+            return current
+    warnings.warn(f"Markov clustering still moves by {moved:.2g} of a column's largest entry after {ROUNDS} rounds", stacklevel=2)
+    return current
+
+
+def _links(final: DataFrame) -> DataFrame:
+    """Links (x, y) of columns to the rows they end in.
+
+    A column that ends in itself is linked to all rows equal to its largest, so attractors that share their
+    flow evenly are one system whatever the order of sums; another column to the smallest of them.
+    """
+    top = final.groupBy("col").agg(F.max("p").alias("top"))
+    equal = final.join(top, "col").filter(F.col("p") >= (1 - TIE) * F.col("top")).select("col", "row")
+    to = equal.groupBy("col").agg(F.min("row").alias("least"), F.bool_or(F.col("row") == F.col("col")).alias("own"))
+    return equal.join(to, "col").filter(F.col("own") | (F.col("row") == F.col("least"))).select(F.col("col").alias("x"), F.col("row").alias("y"))
 
 
 def _normalised(entries: DataFrame) -> DataFrame:
