@@ -105,6 +105,22 @@ def test_incoming_against_brute_force(spark):
     assert len(found) >= 0.95 * sum(bool(p) for p in near.values()) and len(found) > 20
 
 
+def test_incoming_short_texts_with_scattered_edits(spark):
+    rng = random.Random(11)
+    old = [[rng.choice(WORDS) for _ in range(n)] for n in (10, 20, 40) for _ in range(120)]
+    new = []
+    for text in old:
+        out = list(text)
+        for k in rng.sample(range(len(out)), rng.randint(1, max(1, len(out) // 7))):
+            out[k] = f"x{len(new)}y{k}"
+        new.append(out)
+    long = [f"v{k}" for k in range(90)]
+    old, new = [*old, long], [*new, [f"z{k}" if k % 8 == 4 else w for k, w in enumerate(long)]]
+    found, _ = history_dedup.repeated_records(records(spark, old, 0), records(spark, new, 1))
+    expected = {k + 1 for k, (t, o) in enumerate(zip(new, old)) if overlap(t, o) >= 0.6}
+    assert {r["item_no"] for r in found.collect()} == expected and len(expected) > 200
+
+
 def test_incoming_edge_cases(spark):
     none = records(spark, [["a", "b"]], 1).limit(0)
     batch = records(spark, [["a", "b", "c"], ["a", "b", "c"], [], ["x"]], 1)

@@ -1,15 +1,15 @@
 """Problem 2: new batches against all history, by content-defined chunking.
 
 A record's visible words are read as a sequence of two-word windows.  A rolling hash over the window
-sets the boundaries: a chunk ends where the hash is divisible by ``DIVISOR``, so an edit moves the
-boundaries next to it and no others.  A persistent table maps chunk hashes to records; a batch looks
-up the rarest chunks of its records there, the shared chunks give shared byte totals, and the
-share of bytes covered decides which records are compared word by word.
-
-Why the lookup loses nothing: a pair is wanted if shared chunks cover at least ``COVERAGE`` of either
-record.  The batch looks up its rarest chunks until they hold more than ``1 - COVERAGE`` of its bytes,
-so at least one shared chunk is among them; the table lists every chunk of every record.  Windows are two words, as
-in the overlap itself, so one changed word pair destroys at most the chunk it lies in.
+sets the boundaries: a chunk ends where the hash is divisible by ``DIVISOR``.  At 1 every window is a chunk, so an
+edit reaches no chunk but those of the word pairs it changes.  A persistent table maps chunk hashes to records; a
+batch looks up the rarest chunks of its records there, and the number of shared chunks decides which
+records are compared word by word.
+
+Why the lookup loses nothing: chunks are the distinct word pairs of the overlap itself, so a pair at
+the threshold ``t`` shares at least ``ceil(t n)`` of either record's ``n`` chunks.  The batch looks up its
+``n - ceil(t n) + 1`` rarest ones, so a shared chunk is among them; the table lists every chunk
+of every record.  This holds for any length and any place of the edits.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from .near_copies import EPS, _overlap, class_key, symmetric_difference_at_least
 from .scratch import Scratch
 from .visible import mix, parity_map, word_hashes, words
 
-DIVISOR = 2  # a chunk holds two word pairs on average
-COVERAGE = 0.35
+DIVISOR = 1  # longer chunks lose pairs at the threshold whose edits are scattered
+COVERAGE = 0.35  # share of bytes at which a pair is surely met; no bound, the overlap alone decides
 THRESHOLD = 0.6
 PLACES = 20  # 2**20 counters in the persisted chunk-frequency sketch
 ROWS = "chunk long, ref long, since long, bytes int, total int, n int, b0 long, b1 long, b2 long, hi long, lo long"
@@ -126,15 +126,15 @@ class SeenIndex:
 
         listed = every.filter("chunk is not null")
         rarity = self.counts(every)
-        running = Window.partitionBy("ref", "since").orderBy("count", "chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # a record listed by several tasks ranks its chunks once
+        order = Window.partitionBy("ref", "since", "hi", "lo").orderBy("count", "chunk")
         rare = (
             new.filter("chunk is not null")
             .withColumn("place", F.shiftrightunsigned("chunk", 64 - PLACES))
             .join(rarity, "place")
-            .withColumn("upto", F.sum("bytes").over(running))
-            # up to and with the first chunk that takes the total beyond 1 - COVERAGE
-            .filter((F.col("upto") - F.col("bytes") <= (1 - COVERAGE) * F.col("total")) & (F.col("count") > 1))
-            .drop("place", "count", "upto")
+            .withColumn("rank", F.dense_rank().over(order))
+            .filter((F.col("rank") <= F.col("n") - F.ceil(threshold * F.col("n") - EPS) + 1) & (F.col("count") > 1))
+            .drop("place", "count", "rank")
         )
         a, b = rare.alias("a"), listed.alias("b")
         n = F.col("a.n") + F.col("b.n")
@@ -148,16 +148,17 @@ class SeenIndex:
             .select(F.col("a.ref").alias("ref"), F.col("b.ref").alias("match_ref"))
             .distinct()
         )
-        side = listed.select("ref", "chunk", "bytes", "total").dropDuplicates(["ref", "chunk"])
+        side = listed.select("ref", "chunk", "bytes", "total", "n").dropDuplicates(["ref", "chunk"])
         near = side.join(met.select("ref").union(met.select("match_ref")).distinct(), "ref", "left_semi")
-        left = near.select("ref", "chunk", "bytes", F.col("total").alias("ta"))
-        right = near.select(F.col("ref").alias("match_ref"), "chunk", F.col("total").alias("tb"))
+        left = near.select("ref", "chunk", "bytes", F.col("total").alias("ta"), F.col("n").alias("na"))
+        right = near.select(F.col("ref").alias("match_ref"), "chunk", F.col("total").alias("tb"), F.col("n").alias("nb"))
         covered = (
             met.join(left, "ref")
             .join(right, ["match_ref", "chunk"])
             .groupBy("ref", "match_ref")
-            .agg((F.sum("bytes") / F.greatest(F.max("ta"), F.max("tb"))).alias("covered"))
-            .filter(F.col("covered") >= COVERAGE)
+            .agg((F.sum("bytes") / F.greatest(F.max("ta"), F.max("tb"))).alias("covered"), F.count("*").alias("shared"), (F.max("na") + F.max("nb")).alias("n"))
+            .filter(F.col("shared") >= F.ceil(threshold / (1 + threshold) * F.col("n") - EPS))
+            .select("ref", "match_ref", "covered")
         )
         covered = scratch.table(covered)
         ids = covered.select("ref").union(covered.select("match_ref")).distinct()
