@@ -165,6 +165,22 @@ def test_summary_and_metrics(spark):
     assert (figures["total_articles"], figures["total_events"], figures["singleton_events"], figures["cross_publisher_events"]) == (4, 2, 1, 1)
 
 
+def test_sweep_gives_every_setting_its_own_figures(spark):
+    rng = random.Random(8)
+    df, vectors = events(spark, [rng.uniform(0, 360) for _ in range(36)], [rng.randrange(20) for _ in range(36)], {0: "f", 1: "f"})
+    vectors = vectors.filter("article_id <> 'a5'")
+    found = {(r["distance_threshold"], r["window_days"], r["linkage"]): r for r in cluster.sweep(df, vectors).collect()}
+    assert set(found) == {(t, w, k) for t in (0.2, 0.25, 0.3, 0.35) for w in (3.0, 5.0, 10.0) for k in ("average", "complete")}
+    assert [k for k, r in found.items() if r["is_previous_baseline"]] == [(0.35, 10.0, "average")]
+    assert len({r["total_events"] for r in found.values()}) > 3
+    for setting in [(0.2, 3.0, "complete"), (0.25, 5.0, "average"), (0.35, 10.0, "average"), (0.35, 10.0, "complete")]:
+        out = cluster.propagate(df, cluster.cluster(cluster.units(df, vectors), *setting))
+        alone = cluster.metrics(cluster.summaries(out, vectors)).head().asDict()
+        row = found[setting].asDict()
+        assert {k: v for k, v in row.items() if k in alone} == {k: v for k, v in alone.items() if k in row}
+        assert row["singleton_article_share"] == round(alone["singleton_events"] / alone["total_articles"], 4)
+
+
 def test_nearest_pair_is_the_brute_force_minimum(spark):
     angles = [0, 4, 30, 34, 60, 64, 120, 125, 200]
     df, vectors = events(spark, angles, [0] * len(angles))

@@ -21,6 +21,9 @@ from .stage import Stage
 
 GATED = 2.0
 LINKAGES = ("average", "complete")
+#: The grid of the sweep and its row of the setting used before.
+THRESHOLDS, WINDOWS = (0.20, 0.25, 0.30, 0.35), (3.0, 5.0, 10.0)
+BASELINE = (0.35, 10.0, "average")
 
 
 def with_event_time(articles: DataFrame) -> DataFrame:
@@ -146,10 +149,10 @@ def summaries(articles: DataFrame, vectors: DataFrame) -> DataFrame:
     )
 
 
-def metrics(summary: DataFrame) -> DataFrame:
-    """Run figures, from the summary so that they always agree with it."""
+def metrics(summary: DataFrame, *by: str) -> DataFrame:
+    """Run figures, from the summary so that they always agree with it; one row for each value of ``by``."""
     size, multi = F.col("cluster_size"), F.col("cluster_size") >= 2
-    return summary.agg(
+    return summary.groupBy(*by).agg(
         F.sum(size).alias("total_articles"), F.count("*").alias("total_events"), F.count_if(size == 1).alias("singleton_events"), F.count_if(multi).alias("multi_article_events"),
         F.coalesce(F.sum(F.when(multi, size)), F.lit(0)).alias("articles_in_multi_article_events"), F.count_if(F.col("n_publishers") >= 2).alias("cross_publisher_events"),
         F.count_if(size >= 10).alias("events_ge_10_articles"), F.max(size).alias("largest_event_size"),
@@ -163,27 +166,56 @@ def size_distribution(summary: DataFrame) -> DataFrame:
     return summary.filter("cluster_size >= 2").groupBy("cluster_size").agg(F.count("*").alias("events"))
 
 
-def sweep(found: DataFrame, thresholds: list[float], windows: list[float], linkages: tuple[str, ...] = LINKAGES) -> DataFrame:
-    """Events, multi-unit events and the largest one for each setting."""
-    rows = None
-    for t in thresholds:
-        for w in windows:
-            for link in linkages:
-                sizes = cluster(found, t, w, link).groupBy("cluster").agg(F.count("*").alias("n"))
-                one = sizes.agg(F.count("*").alias("events"), F.count_if(F.col("n") > 1).alias("multi_unit_events"), F.max("n").alias("largest"))
-                one = one.select(F.lit(t).alias("threshold"), F.lit(w).alias("window_days"), F.lit(link).alias("linkage"), "events", "multi_unit_events", "largest")
-                rows = one if rows is None else rows.unionByName(one)
-    return rows
+def sweep(articles: DataFrame, vectors: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, windows: tuple[float, ...] = WINDOWS, linkages: tuple[str, ...] = LINKAGES) -> DataFrame:
+    """The run figures of each setting, all from one join at the loosest.
+
+    Components and clusters of all settings come out together: an id is the number of its setting and the unit.
+    """
+    spark = articles.sparkSession
+    stage = Stage(spark, "sweep")
+    found = stage.write(units(articles, vectors))
+    gates = spark.createDataFrame([(k, t, w) for k, (t, w) in enumerate((t, w) for t in thresholds for w in windows)], "gate int, distance_threshold double, window_days double")
+    settings = F.broadcast(gates.crossJoin(spark.createDataFrame([(x,) for x in linkages], "linkage string")))  # the grid is a parameter
+    pairs = stage.write(_with_gaps(found, near_units(found, max(thresholds), max(windows))))
+    held = pairs.crossJoin(F.broadcast(gates)).filter((F.col("distance") < F.col("distance_threshold")) & (F.col("gap") <= F.col("window_days")))
+    parts = components(held.select(F.concat_ws("|", "gate", "a").alias("a"), F.concat_ws("|", "gate", "b").alias("b")))
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("unit", ignore_index=True)
+        gate, threshold, window, linkage = part.loc[0, ["gate", "distance_threshold", "window_days", "linkage"]]
+        label = agglomerate(np.stack(part["vector"]), part["day"].to_numpy(float), threshold, window, linkage)
+        return pd.DataFrame({"gate": gate, "linkage": linkage, "unit": part["unit"], "cluster": part["unit"].to_numpy()[label]})
+
+    inside = found.crossJoin(settings).withColumn("id", F.concat_ws("|", "gate", "unit")).join(parts, "id")
+    inside = inside.select("gate", "distance_threshold", "window_days", "linkage", "component", "unit", "day", "vector")
+    clusters = stage.write(inside.groupBy("gate", "linkage", "component").applyInPandas(one, "gate int, linkage string, unit string, cluster string"))
+    # as in propagate, but an event is named by its setting and cluster: one name for all settings would mix them
+    placed = articles.drop("event_cluster_id").withColumn("unit", unit_key()).crossJoin(settings.select("gate", "linkage")).join(clusters, ["gate", "linkage", "unit"], "left")
+    named = placed.withColumn("event_cluster_id", F.concat_ws("|", "gate", "linkage", F.coalesce("cluster", "unit")))
+    summary = summaries(named.drop("gate", "linkage", "unit", "cluster"), vectors)
+    at = F.split("event_cluster_id", r"\|", 3)
+    figures = metrics(summary.withColumn("gate", at[0].cast("int")).withColumn("linkage", at[1]), "gate", "linkage").join(settings, ["gate", "linkage"])
+    share = 1 - F.col("articles_in_multi_article_events") / F.col("total_articles")
+    previous = F.struct("distance_threshold", "window_days", "linkage") == F.struct(*map(F.lit, BASELINE))
+    return figures.select(
+        "distance_threshold", "window_days", "linkage", previous.alias("is_previous_baseline"), "total_events", "multi_article_events", "singleton_events",
+        F.round(share, 4).alias("singleton_article_share"), "articles_in_multi_article_events", "cross_publisher_events", "events_ge_10_articles", "largest_event_size",
+        "max_span_days", "mean_span_days_multi", "mean_intra_similarity_multi",
+    )
+
+
+def _with_gaps(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    days_of = found.select("unit", "day")
+    both = pairs.join(days_of.select(F.col("unit").alias("a"), F.col("day").alias("da")), "a").join(days_of.select(F.col("unit").alias("b"), F.col("day").alias("db")), "b")
+    return both.select("a", "b", "distance", F.abs(F.col("da") - F.col("db")).alias("gap"))
 
 
 def sweep_edges(found: DataFrame, thresholds: list[float], windows: list[float]) -> DataFrame:
     """Near pairs for each setting, all from one join at the loosest."""
     spark = found.sparkSession
-    days_of = found.select(F.col("unit"), "day")
-    loose = near_units(found, max(thresholds), max(windows))
-    gaps = loose.join(days_of.select(F.col("unit").alias("a"), F.col("day").alias("da")), "a").join(days_of.select(F.col("unit").alias("b"), F.col("day").alias("db")), "b")
+    gaps = _with_gaps(found, near_units(found, max(thresholds), max(windows)))
     grid = spark.createDataFrame([(t, w) for t in thresholds for w in windows], "threshold double, window_days double")
-    met = gaps.select("distance", F.abs(F.col("da") - F.col("db")).alias("gap")).crossJoin(F.broadcast(grid))  # the grid is a parameter
+    met = gaps.select("distance", "gap").crossJoin(F.broadcast(grid))  # the grid is a parameter
     held = (F.col("distance") < F.col("threshold")) & (F.col("gap") <= F.col("window_days"))
     return met.groupBy("threshold", "window_days").agg(F.count_if(held).alias("pairs"))
 

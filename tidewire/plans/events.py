@@ -70,10 +70,8 @@ def event_clusters_average(spark, d):
 
 @query()
 def param_sweep(spark, d):
-    """Clusters under each of the settings."""
-    from ..operators.stage import Stage
-
-    return C.sweep(Stage(spark, "sweep").write(_units(spark, d)), [0.20, 0.30], [3.0, 10.0])
+    """The run figures under each of the 24 settings."""
+    return C.sweep(_articles(spark, d), _vectors(spark, d))
 
 
 @query(
