@@ -7,21 +7,62 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
+
+
+def folder_for(setting: str | None, master: str, application: str) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.  Where it is unset, a temporary one of this
+    machine, if all executors run in this process; on a cluster that is an error."""
+    if setting:
+        return setting.rstrip("/")
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir is unset: set it to a folder that all executors share")
+    if application not in _own:
+        _own[application] = f"file://{tempfile.mkdtemp(prefix='tidewire-')}"
+    return _own[application]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    return folder_for(spark.conf.get("spark.checkpoint.dir", None), context.master, context.applicationId)
+
 
 class Stage:
-    """Parquet tables of one run below ``spark.checkpoint.dir`` (a temporary folder where unset)."""
+    """Parquet tables of one run below the shared folder.
+
+    ``write`` gives a frame back with a fresh plan.  ``drop`` deletes tables that no later plan reads;
+    whatever is left goes when the application ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = f"file://{tempfile.mkdtemp(prefix='tidewire-')}"
-            spark.conf.set("spark.checkpoint.dir", folder)
-        self._spark = spark
-        self._root = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark = spark
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._tables = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         self._tables += 1
-        path = f"{self._root}/{self._tables}"
-        df.write.parquet(path)
-        return self._spark.read.schema(df.schema).parquet(path)
+        path = f"{self.root}/t{self._tables}"
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        if self._tables == 1:
+            files, root = self._files(self.root)
+            files.deleteOnExit(root)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        back._stage_path = path
+        return back
+
+    def drop(self, *frames: DataFrame) -> None:
+        for df in frames:
+            self._delete(getattr(df, "_stage_path", ""))
+
+    def clear(self) -> None:
+        self._delete(self.root)
+
+    def _files(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _delete(self, path: str) -> None:
+        if path.startswith(self.root):
+            files, p = self._files(path)
+            files.delete(p, True)
