@@ -54,6 +54,25 @@ def test_near_copies_against_brute_force(spark, seed):
     assert found == expected and len(expected) > 50
 
 
+def test_hot_bytes_are_split_into_blocks(spark, monkeypatch):
+    texts = collection(3, 60)
+    whole = rows_of(near_copies.near_copy_articles(*near_copies.near_copies(articles(spark, texts), "article_id", ["title", "description"])[:2]))
+    monkeypatch.setattr(near_copies, "BLOCK", 3)
+    assert rows_of(near_copies.near_copy_articles(*near_copies.near_copies(articles(spark, texts), "article_id", ["title", "description"])[:2])) == whole
+
+
+def test_pairs_at_the_threshold_reach_the_guaranteed_tally(spark):
+    texts = collection(4, 60)
+    scratch = near_copies.Scratch(spark, "t")
+    read = near_copies.positional_bytes(articles(spark, texts).select(F.col("article_id").alias("record_id"), "title", "description"), ["title", "description"])
+    classes = scratch.table(read.groupBy("hi", "lo").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("keys", *near_copies.PARITY))).select(F.monotonically_increasing_id().alias("cid"), F.size("keys").alias("n"), *near_copies.PARITY, "keys"))
+    met = {(r["a"], r["b"]) for r in near_copies.tallied_pairs(scratch.table(near_copies.byte_index(classes)), 0.6, scratch).collect()}
+    met |= {(b, a) for a, b in met}
+    sets = {r["cid"]: set(r["keys"]) for r in classes.collect()}
+    near = {(a, b) for a in sets for b in sets if a != b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    assert near <= met and near
+
+
 def test_a_third_of_copies_is_one_class(spark):
     texts = [["w1", "w2", "w3", "w4", str(k) if k % 3 else "same", "w5", "w6"] for k in range(300)]
     pairs, members, _ = near_copies.near_copies(articles(spark, texts), "article_id", ["title", "description"])
@@ -87,22 +106,13 @@ def records(spark, texts, first):
     return spark.createDataFrame(rows, "item_no long, entry_key string, content_hash string, payload struct<title: string, summary: string, description: string>")
 
 
-def covered(a, b):
-    (x, size, _), (y, other, _) = history_dedup.chunks_of(a), history_dedup.chunks_of(b)
-    shared = set(x) & set(y)
-    return sum(s for h, s in zip(x, size) if h in shared) / max(size.sum(), other.sum())
-
-
 def test_incoming_against_brute_force(spark):
     texts = collection(5, 150)
     old, new = texts[:70], texts[70:]
     found, _ = history_dedup.repeated_records(records(spark, old, 0), records(spark, new, 1))
-    found = {r["item_no"] for r in found.collect()}
-    near = {k + 1: [(t, o) for o in [*old, *new[:k]] if overlap(t, o) >= 0.6] for k, t in enumerate(new)}
-    assert found <= {k for k, pairs in near.items() if pairs}
-    # none is missed whose shared chunks cover the stated share of both
-    assert found >= {k for k, pairs in near.items() if any(covered(t, o) >= history_dedup.COVERAGE or t == o for t, o in pairs)}
-    assert len(found) >= 0.95 * sum(bool(p) for p in near.values()) and len(found) > 20
+    found = {r["item_no"]: r["decision"] for r in found.collect()}
+    best = {k + 1: max([overlap(t, o) for o in [*old, *new[:k]]], default=0) for k, t in enumerate(new)}
+    assert found == {k: "copy" if v == 1 else "near_copy" for k, v in best.items() if v >= 0.6} and len(found) > 20
 
 
 def test_incoming_short_texts_with_scattered_edits(spark):
@@ -126,32 +136,65 @@ def test_incoming_edge_cases(spark):
     batch = records(spark, [["a", "b", "c"], ["a", "b", "c"], [], ["x"]], 1)
     batch = batch.union(batch.limit(1)).union(spark.sql("select null, 'k', 'h', null")).union(spark.sql("select 9, null, null, null"))
     found, _ = history_dedup.repeated_records(none, batch)
-    assert {r["item_no"] for r in found.filter("exact_copy").collect()} == {2}
+    assert {r["item_no"] for r in found.filter("decision = 'copy'").collect()} == {2}
     found, _ = history_dedup.repeated_records(batch, none)
     assert found.isEmpty()
 
 
+def batch_of(spark, rows):
+    return spark.createDataFrame(rows, "ref long, since long, title string, body string")
+
+
 def test_index_grows_by_batches(spark, tmp_path):
     fields = ["title", "body"]
     index = history_dedup.SeenIndex(spark, f"file://{tmp_path}/index")
-    make = lambda rows: spark.createDataFrame(rows, "ref long, since long, title string, body string")
-    text = " ".join(WORDS[:40])
-    history = make([(1, 0, "t", text)])
-    index.add(history, fields)
-    batch = make([(2, 1, "t", text + " extra"), (3, 1, "u", " ".join(WORDS[100:140]))])
     scratch = history_dedup.Scratch(spark, "t")
-    assert {r["ref"] for r in index.check(batch, fields, history.union(batch), scratch).collect()} == {2}
-    index.accept(batch.filter("ref = 3"), fields)
-    later = make([(4, 2, "u", " ".join(WORDS[100:140]))])
-    assert {r["ref"] for r in index.check(later, fields, history.union(batch).union(later), scratch).collect()} == {4}
-
-
-def test_chunks_hold_every_word_pair_once():
-    tokens = [random.Random(3).choice(WORDS) for _ in range(300)]
-    hashes, sizes, pairs = history_dedup.chunks_of(tokens)
-    assert sizes.sum() <= sum(len(t) + 1 for t in tokens) and len(pairs) == len(set(zip(tokens, tokens[1:])))
-    moved, _, _ = history_dedup.chunks_of(["new", *tokens])
-    assert len(set(hashes) - set(moved)) <= 1  # an insertion moves only the boundaries next to it
+    text = " ".join(WORDS[:40])
+    index.add(batch_of(spark, [(1, 0, "t", text)]), fields, scratch)
+    batch = batch_of(spark, [(2, 1, "t", text + " extra"), (3, 1, "u", " ".join(WORDS[100:140]))])
+    assert {(r["ref"], r["decision"]) for r in index.check(batch, fields, scratch).collect()} == {(2, "near_copy")}
+    index.accept(batch.filter("ref = 3"), fields, scratch)
+    index.accept(batch.filter("ref = 3"), fields, scratch)
+    assert index.table("contents").count() == 2
+    later = batch_of(spark, [(4, 2, "u", " ".join(WORDS[100:140]))])
+    assert {(r["ref"], r["decision"]) for r in index.check(later, fields, scratch).collect()} == {(4, "copy")}
+    other = index.divided(f"file://{tmp_path}/other", 6, scratch)
+    assert {r["ref"] for r in other.check(later, fields, scratch).collect()} == {4}
+
+
+def test_reading_depends_on_the_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history_dedup, "DIVISION_ROWS", 300)
+    rng = random.Random(8)
+    text = lambda n=20: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    batch = batch_of(spark, [(1, 5, text(5), text(5))])
+    read = {}
+    for size in (100, 1000):
+        scratch = history_dedup.Scratch(spark, "t")
+        index = history_dedup.SeenIndex(spark, f"file://{tmp_path}/{size}", history_dedup.bits_for(size))
+        index.add(batch_of(spark, [(k, 0, text(), text()) for k in range(size)]), ["title", "body"], scratch)
+        own = history_dedup.contents_of(history_dedup.read_records(batch, ["title", "body"]))
+        read[size] = [index.near(t, history_dedup.keyed(own, t).select("key")).count() for t in ("chunks", "pairs")]
+        assert index.check(batch, ["title", "body"], scratch).isEmpty()
+    assert all(many <= 2 * few for few, many in zip(read[100], read[1000]))
+
+
+def test_hot_keys_are_looked_up_in_parts(spark, monkeypatch):
+    texts = collection(6, 80)
+    old, new = records(spark, texts[:40], 0), records(spark, texts[40:], 1)
+    whole = rows_of(history_dedup.repeated_records(old, new)[0].select("item_no", "decision"))
+    monkeypatch.setattr(history_dedup, "HOT", 2)
+    assert rows_of(history_dedup.repeated_records(old, new)[0].select("item_no", "decision")) == whole
+
+
+def test_chunks_end_where_the_content_says():
+    rng = random.Random(3)
+    text = " ".join(rng.choice(WORDS) for _ in range(600)).encode()
+    chunks = set(history_dedup.chunks_of(text).tolist())
+    assert 8 < len(text) / len(chunks) < 32 and sum(c & 4095 for c in chunks) <= len(text)
+    moved = set(history_dedup.chunks_of(b"new " + text).tolist())
+    assert len(chunks - moved) <= 2  # an insertion moves only the boundaries next to it
+    assert sum(int(c) & 4095 for c in history_dedup.chunks_of(b"a" * 9000)) in (4095 + 810, 9000)
+    assert len(history_dedup.chunks_of(b"abc")) == 1 and len(history_dedup.chunks_of(b"")) == 0
 
 
 def test_groups_against_union_find(spark):

@@ -1,15 +1,19 @@
 """Problem 2: new batches against all history, by content-defined chunking.
 
-A record's visible words are read as a sequence of two-word windows.  A rolling hash over the window
-sets the boundaries: a chunk ends where the hash is divisible by ``DIVISOR``.  At 1 every window is a chunk, so an
-edit reaches no chunk but those of the word pairs it changes.  A persistent table maps chunk hashes to records; a
-batch looks up the rarest chunks of its records there, and the number of shared chunks decides which
-records are compared word by word.
-
-Why the lookup loses nothing: chunks are the distinct word pairs of the overlap itself, so a pair at
-the threshold ``t`` shares at least ``ceil(t n)`` of either record's ``n`` chunks.  The batch looks up its
-``n - ceil(t n) + 1`` rarest ones, so a shared chunk is among them; the table lists every chunk
-of every record.  This holds for any length and any place of the edits.
+A record's visible words, joined by blanks, are cut where a rolling hash over WINDOW bytes has its upper
+BOUNDARY_BITS bits clear, so an edit moves only the boundaries next to it.  A persistent table maps
+chunk hashes to contents; a batch looks up the rarest chunks of its contents there, the shared
+chunks' bytes are totalled, and a content whose shared bytes cover COVERAGE of the larger of the two is
+decided: an exact word check follows.  Contents of accepted records are appended.
+
+Chunks of several words cannot meet every pair at the threshold ``t`` (edits may touch each chunk), so contents that
+coverage leaves undecided are looked up in a second persistent table, of word pairs.  A pair at ``t`` shares at
+least ``ceil(t n)`` of a content's ``n`` word pairs, so one of its ``n - ceil(t n) + 1`` rarest is among
+them, and the table lists all: this holds for any length and any place of the edits.
+
+All tables are divided by the leading bits of their key and every lookup reads the divisions of the batch's own
+keys only, so its cost depends on the batch: with ``bits`` chosen by ``bits_for``, a division has
+about the same number of rows whatever the size of the history.
 """
 
 from __future__ import annotations
@@ -17,195 +21,261 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .near_copies import EPS, _overlap, class_key, symmetric_difference_at_least
+from .near_copies import EPS, PARITY, class_key, differing_bits, least_shared, list_array, overlap_of
 from .scratch import Scratch
-from .visible import mix, parity_map, word_hashes, words
+from .visible import parity_map, word_pair_hashes, words
 
-DIVISOR = 1  # longer chunks lose pairs at the threshold whose edits are scattered
-COVERAGE = 0.35  # share of bytes at which a pair is surely met; no bound, the overlap alone decides
 THRESHOLD = 0.6
-PLACES = 20  # 2**20 counters in the persisted chunk-frequency sketch
-ROWS = "chunk long, ref long, since long, bytes int, total int, n int, b0 long, b1 long, b2 long, hi long, lo long"
-
-
-def chunks_of(tokens: list[str], divisor: int = DIVISOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of the distinct chunks, their bytes, distinct word-pair hashes) of a word sequence."""
-    w = word_hashes(tokens)
-    if len(w) < 2:
-        none = np.empty(0, np.uint64)
-        return none, np.empty(0, np.int64), none
-    windows = mix(w[:-1], w[1:])
-    ends = np.flatnonzero(windows % np.uint64(divisor) == 0)
-    starts = np.concatenate(([0], ends + 1))
-    starts = starts[starts < len(windows)]
-    offset = np.arange(len(windows)) - np.repeat(starts, np.diff(np.append(starts, len(windows))))
-    hashes = np.add.reduceat(mix(windows, offset.astype(np.uint64)), starts)
-    size = np.fromiter((len(t.encode()) + 1 for t in tokens), np.int64, len(tokens))[:-1]
-    hashes, first = np.unique(hashes, return_index=True)
-    return hashes, np.add.reduceat(size, starts)[first], np.unique(windows)
-
-
-def chunk_rows(records: DataFrame, fields: list[str]) -> DataFrame:
-    """Rows of the chunk table for ``records`` (ref, since, *fields).
-
-    A record whose content this task has already listed under an earlier ``since`` leaves one row
-    without a chunk, which only names its content.
-    """
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        listed: dict[tuple[int, int], int] = {}
+WINDOW = 8  # bytes
+BOUNDARY_BITS = 4  # chunks of 16 bytes on average
+LONGEST = 4095  # bytes of a chunk; its length stands in the lower SIZE_BITS bits of its key
+SIZE_BITS = 12
+COVERAGE = 0.5
+#: Keys held by more contents than this are looked up in SALTS parts.
+HOT, SALTS = 4096, 64
+#: Word pairs that a division of the index should hold, and what a record is reckoned at.
+DIVISION_ROWS, RECORD_ROWS = 500_000, 64
+MOST_BITS = 14  # 16,384 divisions: the bound of what the driver learns of a batch
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def chunks_of(data: bytes) -> np.ndarray:
+    """Keys of the distinct chunks: 52 bits of hash above 12 bits of length."""
+    cuts = [0]
+    if len(data) >= WINDOW:
+        rolled = np.ndarray((len(data) - WINDOW + 1,), "<u8", data, strides=(1,))
+        cuts += (np.flatnonzero(rolled * _MIX >> np.uint64(64 - BOUNDARY_BITS) == 0) + WINDOW).tolist()
+    if cuts[-1] != len(data):
+        cuts.append(len(data))
+    keys = set()
+    for start, end in zip(cuts, cuts[1:]):
+        for a in range(start, end, LONGEST):
+            part = data[a : min(end, a + LONGEST)]
+            keys.add(xxhash.xxh3_64_intdigest(part) >> SIZE_BITS << SIZE_BITS | len(part))
+    return np.fromiter(keys, np.uint64, len(keys)).view(np.int64)
+
+
+def chunk_bytes(key: Column) -> Column:
+    return key.bitwiseAND(LONGEST)
+
+
+READ = "ref long, since long, hi long, lo long, n int, total long, b0 long, b1 long, b2 long, pairs array<long>, chunks array<long>"
+CONTENT = ["hi", "lo"]
+HEAD = ["n", "total", *PARITY]
+
+
+def read_records(records: DataFrame, fields: list[str]) -> DataFrame:
+    """The one pass over the texts of ``records`` (ref, since, *fields): the name of each content, and its word
+    pairs and chunks where this task has not given that content before.  Records without a word pair
+    give no row."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple[int, int]] = set()
         for batch in batches:
-            heads, hashes, sizes = [], [], []
-            for ref, since, *texts in batch[["ref", "since", *fields]].itertuples(index=False):
-                chunk, size, pairs = chunks_of(words(*texts))
-                if not len(pairs):
+            rows, sizes, pairs, chunk_sizes, chunks = [], [], [], [], []
+            for ref, since, *texts in zip(*(batch.column(c).to_pylist() for c in ("ref", "since", *fields))):
+                tokens = words(*texts)
+                held = word_pair_hashes(tokens)
+                if not len(held):
                     continue
-                name = class_key(pairs)
-                copy = listed.get(name, since + 1) <= since
-                if not copy:
-                    listed[name] = since
-                    hashes.append(chunk.view(np.int64))
-                    sizes.append(size)
-                heads.append((ref, since, int(size.sum()), len(pairs), *parity_map(pairs).tolist(), *name, len(chunk), copy))
-            if not heads:
-                continue
-            head = pd.DataFrame(heads, columns=["ref", "since", "total", "n", "b0", "b1", "b2", "hi", "lo", "rows", "copy"])
-            full = head[~head["copy"]]
-            out = full.loc[np.repeat(full.index, full["rows"])].drop(columns=["rows", "copy"])
-            out["chunk"] = np.concatenate([*hashes, np.empty(0, np.int64)])
-            out["bytes"] = np.concatenate([*sizes, np.empty(0, np.int64)])
-            out["chunk"] = out["chunk"].astype("Int64")
-            only = head[head["copy"]].drop(columns=["rows", "copy"]).assign(chunk=pd.NA, bytes=0)
-            columns = ["chunk", "ref", "since", "bytes", "total", "n", "b0", "b1", "b2", "hi", "lo"]
-            yield out[columns]
-            if len(only):
-                yield only[columns].astype({"chunk": "Int64"})
-
-    return records.mapInPandas(rows, ROWS)
+                name = class_key(held)
+                cut = None if name in given else chunks_of(" ".join(tokens).encode())
+                given.add(name)
+                sizes.append(None if cut is None else len(held))
+                chunk_sizes.append(None if cut is None else len(cut))
+                if cut is not None:
+                    pairs.append(held.view(np.int64))
+                    chunks.append(cut)
+                rows.append((ref, since, *name, len(held), None if cut is None else int((cut & LONGEST).sum()), *parity_map(held)))
+            columns = [*zip(*rows)] or [()] * 9
+            arrays = [pa.array(c, pa.int32() if k == 4 else pa.int64()) for k, c in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays([*arrays, list_array(pairs, sizes), list_array(chunks, chunk_sizes)], [*_names(READ)])
 
+    return records.select("ref", "since", *fields).mapInArrow(read, READ)
 
-class SeenIndex:
-    """The persistent chunk-to-record table under ``folder`` and its chunk-frequency sketch.
 
-    ``add`` appends records; ``check`` looks a batch up without reading any earlier text except that
-    of the few records it then compares word by word; ``accept`` appends a batch after its check.
-    """
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
 
-    def add(self, records: DataFrame, fields: list[str]) -> None:
-        self._append(chunk_rows(records, fields))
+def contents_of(read: DataFrame) -> DataFrame:
+    """One row per content, with ``first``: the least ``since`` of its records."""
+    only = (F.first(c, ignorenulls=True).alias(c) for c in (*HEAD, "pairs", "chunks"))
+    return read.groupBy(*CONTENT).agg(F.min("since").alias("first"), *only)
 
-    def _append(self, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.folder}/chunks")
 
-    def table(self) -> DataFrame:
-        return self.spark.read.schema(ROWS).parquet(f"{self.folder}/chunks")
+def bits_for(records: int) -> int:
+    return int(np.clip(np.ceil(np.log2(max(1, records * RECORD_ROWS / DIVISION_ROWS))), 1, MOST_BITS))
 
-    @staticmethod
-    def counts(rows: DataFrame) -> DataFrame:
-        """How many rows hold a chunk of each place of the sketch: never more than 2**PLACES rows."""
-        return rows.filter("chunk is not null").groupBy(F.shiftrightunsigned("chunk", 64 - PLACES).alias("place")).count()
 
-    def check(self, batch: DataFrame, fields: list[str], texts: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
-        """``ref`` of each record of ``batch`` that repeats an indexed or an earlier batch record, with
-        ``match_ref`` (null for exact copies), ``overlap`` and ``covered`` (share of shared bytes).
+_POSTING = "key long, hi long, lo long, first long, n int, total long, b0 long, b1 long, b2 long, division int"
+TABLES = {
+    "contents": "hi long, lo long, first long, n int, total long, b0 long, b1 long, b2 long, pairs array<long>, chunks array<long>, division int",
+    "chunks": _POSTING,
+    "pairs": _POSTING,
+    "chunk_counts": "key long, contents long, division int",
+    "pair_counts": "key long, contents long, division int",
+}
 
-        ``texts`` resolves references (ref, *fields) of everything indexed and of the batch.
-        """
-        new = scratch.table(chunk_rows(batch, fields))
-        every = self.table().unionByName(new)
-        earliest = every.groupBy("hi", "lo").agg(F.min("since").alias("first"))
-        own = new.groupBy("ref", "since", "hi", "lo").agg(F.count("*").alias("_n")).drop("_n")
-        copies = own.join(earliest, ["hi", "lo"]).filter("first < since").select("ref")
-
-        listed = every.filter("chunk is not null")
-        rarity = self.counts(every)
-        # a record listed by several tasks ranks its chunks once
-        order = Window.partitionBy("ref", "since", "hi", "lo").orderBy("count", "chunk")
-        rare = (
-            new.filter("chunk is not null")
-            .withColumn("place", F.shiftrightunsigned("chunk", 64 - PLACES))
-            .join(rarity, "place")
-            .withColumn("rank", F.dense_rank().over(order))
-            .filter((F.col("rank") <= F.col("n") - F.ceil(threshold * F.col("n") - EPS) + 1) & (F.col("count") > 1))
-            .drop("place", "count", "rank")
-        )
-        a, b = rare.alias("a"), listed.alias("b")
-        n = F.col("a.n") + F.col("b.n")
-        met = scratch.table(
-            a.join(b, F.col("a.chunk") == F.col("b.chunk"))
-            .filter("b.since < a.since and b.ref <> a.ref")
-            .filter(
-                (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - EPS)
-                & ((n - symmetric_difference_at_least("a", "b")) / 2 >= F.ceil(threshold / (1 + threshold) * n - EPS))
-            )
-            .select(F.col("a.ref").alias("ref"), F.col("b.ref").alias("match_ref"))
-            .distinct()
-        )
-        side = listed.select("ref", "chunk", "bytes", "total", "n").dropDuplicates(["ref", "chunk"])
-        near = side.join(met.select("ref").union(met.select("match_ref")).distinct(), "ref", "left_semi")
-        left = near.select("ref", "chunk", "bytes", F.col("total").alias("ta"), F.col("n").alias("na"))
-        right = near.select(F.col("ref").alias("match_ref"), "chunk", F.col("total").alias("tb"), F.col("n").alias("nb"))
-        covered = (
-            met.join(left, "ref")
-            .join(right, ["match_ref", "chunk"])
-            .groupBy("ref", "match_ref")
-            .agg((F.sum("bytes") / F.greatest(F.max("ta"), F.max("tb"))).alias("covered"), F.count("*").alias("shared"), (F.max("na") + F.max("nb")).alias("n"))
-            .filter(F.col("shared") >= F.ceil(threshold / (1 + threshold) * F.col("n") - EPS))
-            .select("ref", "match_ref", "covered")
-        )
-        covered = scratch.table(covered)
-        ids = covered.select("ref").union(covered.select("match_ref")).distinct()
-        words_of = texts.join(ids, "ref", "left_semi").dropDuplicates(["ref"]).select("ref", F.struct(*fields).alias("t"))
-        scored = (
-            covered.join(words_of.withColumnRenamed("t", "ta"), "ref")
-            .join(words_of.select(F.col("ref").alias("match_ref"), F.col("t").alias("tb")), "match_ref")
-            .withColumn("overlap", _overlap("ta", "tb"))
-            .filter(F.col("overlap") >= threshold - EPS)
-            .select("ref", "match_ref", "overlap", "covered")
+
+class SeenIndex:
+    """The persistent tables under ``folder``, each divided by the leading ``bits`` of its key:
+
+    ``contents`` (by name), ``chunks`` and ``pairs`` (key to content), ``chunk_counts`` and ``pair_counts`` (key to number of
+    contents, one row for each append).  ``bits`` is fixed when the index is made; ``divided`` copies an index that has outgrown it.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, bits: int = 4):
+        self.spark, self.folder, self.bits = spark, folder.rstrip("/"), bits
+
+    def division(self, key: str) -> Column:
+        return F.shiftrightunsigned(key, 64 - self.bits).cast("int")
+
+    def add(self, records: DataFrame, fields: list[str], scratch: Scratch) -> None:
+        """Append the contents of ``records`` that the index does not hold."""
+        self.append(contents_of(read_records(records, fields)), scratch)
+
+    accept = add
+
+    def append(self, contents: DataFrame, scratch: Scratch) -> None:
+        new = scratch.table(contents)
+        if self.holds("contents"):
+            new = scratch.table(new.join(self.near("contents", new.select("hi")).select(*CONTENT), CONTENT, "left_anti"))
+        self._write("contents", new, "hi")
+        for kind in ("chunks", "pairs"):
+            self._write(kind, keyed(new, kind), "key")
+            counts = new.select(F.explode(kind).alias("key")).groupBy("key").agg(F.count("*").alias("contents"))
+            self._write(f"{kind[:-1]}_counts", counts, "key")
+
+    def divided(self, folder: str, bits: int, scratch: Scratch) -> "SeenIndex":
+        """A copy of the index under ``folder`` in other divisions."""
+        other = SeenIndex(self.spark, folder, bits)
+        other.append(self.table("contents").drop("division"), scratch)
+        return other
+
+    def _write(self, name: str, rows: DataFrame, key: str) -> None:
+        divided = rows.withColumn("division", self.division(key))
+        divided.repartition("division").write.mode("append").partitionBy("division").parquet(f"{self.folder}/{name}")
+
+    def holds(self, name: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}")
+
+    def near(self, name: str, keys: DataFrame) -> DataFrame:
+        """The rows of the divisions of a table in which ``keys`` (one column) may stand."""
+        wanted = [r[0] for r in keys.select(self.division(keys.columns[0])).distinct().collect()]  # at most 2**MOST_BITS numbers
+        table = self.table(name)
+        return (table if len(wanted) == 1 << self.bits else table.filter(F.col("division").isin(wanted))).drop("division")
+
+    def rarest(self, new: DataFrame, kind: str) -> DataFrame:
+        """The postings of the contents ``new`` with ``contents``, the number of indexed and new contents that hold a key, and
+        ``rank`` and ``before`` (bytes of rarer keys) within a content, rarest first."""
+        each = keyed(new, kind)
+        fresh = each.groupBy("key").agg(F.count("*").alias("contents"))
+        known = self.near(f"{kind[:-1]}_counts", each.select("key")).groupBy("key").agg(F.sum("contents").alias("contents"))
+        counts = fresh.join(known.withColumnRenamed("contents", "c"), "key", "left").select("key", (F.col("contents") + F.coalesce("c", F.lit(0))).alias("contents"))
+        order = Window.partitionBy(*CONTENT).orderBy("contents", "key")
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        return each.join(counts, "key").select(
+            "*", F.row_number().over(order).alias("rank"), F.coalesce(F.sum(chunk_bytes(F.col("key"))).over(before), F.lit(0)).alias("before")
         )
-        exact = copies.select("ref", F.lit(None).cast("long").alias("match_ref"), F.lit(1.0).alias("overlap"), F.lit(1.0).alias("covered"))
-        return exact.unionByName(scored)
 
-    def accept(self, batch: DataFrame, fields: list[str]) -> None:
-        """Append the chunks of accepted records."""
-        self.add(batch, fields)
+    def candidates(self, looked: DataFrame, new: DataFrame, kind: str, threshold: float, scratch: Scratch) -> DataFrame:
+        """(ahi, alo, bhi, blo): contents that share a looked-up key with an earlier one and may reach the threshold."""
+        looked = scratch.table(looked.filter("contents > 1"))  # a key that one content holds meets nothing
+        listed = self.near(kind, looked.select("key")).unionByName(keyed(new, kind))
+        met = _met(looked.filter(F.col("contents") <= HOT), listed, ["key"], threshold)
+        hot = looked.filter(F.col("contents") > HOT)
+        if not hot.isEmpty():
+            parts = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            met = met.union(_met(parts, listed.withColumn("salt", F.pmod(F.xxhash64(*CONTENT), F.lit(SALTS)).cast("int")), ["key", "salt"], threshold))
+        return scratch.table(met.distinct())
+
+    def compared(self, met: DataFrame, new: DataFrame, scratch: Scratch) -> DataFrame:
+        """``met`` with the overlap of each two contents and ``covered``, the share of shared chunk bytes in the larger."""
+        names = scratch.table(met.select(F.col("bhi").alias("hi"), F.col("blo").alias("lo")).distinct())
+        held = self.near("contents", names.select("hi")).unionByName(new)
+        side = lambda df, x: df.select(*(F.col(c).alias(f"{x}{c}") for c in (*CONTENT, "total", "pairs", "chunks")))
+        both = met.join(side(new, "a"), ["ahi", "alo"]).join(side(held.join(names, CONTENT, "left_semi"), "b"), ["bhi", "blo"])
+        shared = F.aggregate(F.array_intersect("achunks", "bchunks"), F.lit(0).cast("long"), lambda s, x: s + chunk_bytes(x))
+        return both.select("ahi", "alo", "bhi", "blo", overlap_of("apairs", "bpairs").alias("overlap"), (shared / F.greatest("atotal", "btotal")).alias("covered"))
+
+    def check(self, batch: DataFrame, fields: list[str], scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
+        """(ref, decision, overlap, covered) of each record of ``batch`` that repeats an indexed or an earlier
+        batch record: ``copy`` (the same word pairs) or ``near_copy``; the figures are the best of the matches looked at.
+
+        ``batch``: ref, since, *fields; no earlier text is read.
+        """
+        read = scratch.table(read_records(batch, fields))
+        own = contents_of(read)
+        known = self.near("contents", read.select("hi")).select(*CONTENT, F.lit(True).alias("known"))
+        own = scratch.table(own.join(known, CONTENT, "left"))
+        firsts = own.select(*CONTENT, "first", F.coalesce("known", F.lit(False)).alias("known"))
+        seen = read.select("ref", "since", *CONTENT).distinct().join(firsts, CONTENT).withColumn("copy", F.col("known") | (F.col("since") > F.col("first")))
+        new = own.filter("known is null").drop("known")
+
+        least = F.lit(1 - COVERAGE) * F.col("total")
+        by_chunks = self.candidates(self.rarest(new, "chunks").filter(F.col("before") <= least), new, "chunks", threshold, scratch)
+        decided = self.compared(by_chunks, new, scratch).filter((F.col("covered") >= COVERAGE) & (F.col("overlap") >= threshold - EPS))
+        decided = scratch.table(decided)
+
+        rest = scratch.table(new.join(decided.select(F.col("ahi").alias("hi"), F.col("alo").alias("lo")), CONTENT, "left_anti"))
+        enough = F.col("n") - F.ceil(threshold * F.col("n") - EPS) + 1
+        by_pairs = self.candidates(self.rarest(rest, "pairs").filter(F.col("rank") <= enough), new, "pairs", threshold, scratch)
+        exact = self.compared(by_pairs, new, scratch).filter(F.col("overlap") >= threshold - EPS)
+
+        best = decided.unionByName(exact).groupBy(F.col("ahi").alias("hi"), F.col("alo").alias("lo"))
+        best = best.agg(F.max("overlap").alias("overlap"), F.max("covered").alias("covered"))
+        found = seen.join(best, CONTENT, "left").filter(F.col("copy") | F.col("overlap").isNotNull())
+        pick = lambda c: F.when(F.col("copy"), 1.0).otherwise(F.col(c)).alias(c)
+        return found.select("ref", F.when(F.col("copy"), "copy").otherwise("near_copy").alias("decision"), pick("overlap"), pick("covered"))
+
+
+def keyed(contents: DataFrame, kind: str) -> DataFrame:
+    """Postings (key, content, first, head) of the chunks or word pairs of contents."""
+    return contents.select(F.explode(kind).alias("key"), *CONTENT, "first", *HEAD)
+
+
+def _met(looked: DataFrame, listed: DataFrame, on: list[str], threshold: float) -> DataFrame:
+    a, b = looked.alias("a"), listed.alias("b")
+    n = F.col("a.n") + F.col("b.n")
+    near = (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - EPS) & ((n - differing_bits("a", "b", PARITY)) / 2 >= least_shared(n, threshold))
+    return (
+        a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on])
+        .filter(F.expr("b.first < a.first and (b.hi <> a.hi or b.lo <> a.lo)") & near)
+        .select(*(F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "ab" for c in CONTENT))
+    )
 
 
 FIELDS = ["title", "body"]
 
 
-def payload_texts(records: DataFrame, ref, since) -> DataFrame:
+def payload_texts(records: DataFrame, ref: Column, since: Column) -> DataFrame:
     """(ref, since, title, body) of raw records: body is ``summary``, else ``description``."""
     return records.select(
-        ref.alias("ref"), since.alias("since"), F.col("payload.title").alias("title"), F.coalesce("payload.summary", "payload.description").alias("body")
+        ref.cast("long").alias("ref"), since.cast("long").alias("since"), F.col("payload.title").alias("title"), F.coalesce("payload.summary", "payload.description").alias("body")
     )
 
 
 def repeated_records(history: DataFrame, incoming: DataFrame) -> tuple[DataFrame, Scratch]:
     """Each record of ``incoming`` that repeats a record of ``history`` or an incoming record of
-    smaller ``item_no``: ``item_no``, ``best_overlap``, ``exact_copy``, ``n_matches``.
+    smaller ``item_no``: ``item_no``, ``decision`` (``copy`` or ``near_copy``), ``overlap``, ``covered``.
 
     Records without two words repeat nothing.  Null payloads and null texts are empty texts; a null
     ``item_no`` is left out; repeated rows of one ``item_no`` count once.
     """
-    spark = incoming.sparkSession
-    scratch = Scratch(spark, "seen")
-    known = payload_texts(history, F.xxhash64("entry_key", "content_hash", "payload.title", F.coalesce("payload.summary", "payload.description")), F.lit(-1).cast("long"))
-    item = F.col("item_no").cast("long")
-    # batch references are their number, kept apart from the hashes of history by the sign bit's neighbour
-    batch = payload_texts(incoming.filter("item_no is not null"), item, item)
-    known = known.withColumn("ref", F.col("ref").bitwiseOR(F.lit(1 << 62)))
-    index = SeenIndex(spark, f"{scratch.root}/index")
-    index.add(known, FIELDS)
-    found = index.check(batch, FIELDS, known.select("ref", *FIELDS).union(batch.select("ref", *FIELDS)), scratch)
-    result = found.groupBy(F.col("ref").alias("item_no")).agg(
-        F.round(F.max("overlap"), 6).alias("best_overlap"), F.bool_or(F.col("match_ref").isNull()).alias("exact_copy"), F.count_distinct("match_ref").alias("n_matches")
-    )
-    return result, scratch
+    scratch = Scratch(incoming.sparkSession, "seen")
+    index = SeenIndex(incoming.sparkSession, f"{scratch.root}/index", bits_for(history.count()))
+    index.add(payload_texts(history, F.lit(None), F.lit(-1)), FIELDS, scratch)
+    item = F.col("item_no")
+    found = index.check(payload_texts(incoming.filter("item_no is not null"), item, item), FIELDS, scratch)
+    rank = F.max(F.struct(F.col("decision") == "copy", "overlap", "covered", "decision")).alias("m")
+    return found.groupBy(F.col("ref").alias("item_no")).agg(rank).select("item_no", "m.decision", "m.overlap", "m.covered"), scratch

@@ -205,7 +205,7 @@ def fit_from_tables(samples: DataFrame, documents: DataFrame) -> LanguageModel:
     return fit(clean, _bounded(labelled, F.col("_code"), "text", DOCUMENTS_PER_LANGUAGE))
 
 
-SEGMENTS = "doc_id long, label string, segment_no int, start int, length int, lang string, confidence double, sentences int, doc_sentences int"
+SEGMENTS = "doc_id long, label string, segment_no int, start int, length int, lang string, confidence double, sentences int, doc_languages int"
 
 
 def language_segments(documents: DataFrame, model: LanguageModel) -> DataFrame:
@@ -249,7 +249,7 @@ def language_segments(documents: DataFrame, model: LanguageModel) -> DataFrame:
                     "lang": np.array(m.languages)[runs["lang"]],
                     "confidence": (runs["cw"] / runs["w"]).round(6),
                     "sentences": runs["n"],
-                    "doc_sentences": runs.groupby("k")["n"].transform("sum"),
+                    "doc_languages": runs.groupby("k")["lang"].transform("nunique"),
                 }
             )
 
@@ -257,12 +257,10 @@ def language_segments(documents: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def document_languages(segments: DataFrame) -> DataFrame:
-    """(doc_id, label, lang, confidence, sentences, n_languages): one row per document and language."""
-    per = segments.groupBy("doc_id", "label", "lang").agg(
+    """(doc_id, label, n_languages, lang, confidence, sentences): one row per document and language."""
+    return segments.groupBy("doc_id", "label", F.col("doc_languages").alias("n_languages"), "lang").agg(
         F.sum("sentences").cast("int").alias("sentences"), (F.sum(F.col("confidence") * F.col("sentences")) / F.sum("sentences")).alias("confidence")
     )
-    several = per.groupBy("doc_id").agg(F.count_distinct("lang").cast("int").alias("n_languages"))
-    return per.join(several, "doc_id")
 
 
 def label_code_column(label: str) -> F.Column:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .groups import connected_groups
-from .near_copies import symmetric_difference_at_least
+from .near_copies import differing_bits
 from .scratch import Scratch
 
 THRESHOLD = 0.8
@@ -138,7 +138,7 @@ def near_vectors(hashed: DataFrame, units: DataFrame, threshold: float, scratch:
     join = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]
     met = (
         a.join(b, join)
-        .filter((F.col("a.vid") < F.col("b.vid")) & (symmetric_difference_at_least("a", "b", ("s0", "s1")) <= MOST_DIFFERENT))
+        .filter((F.col("a.vid") < F.col("b.vid")) & (differing_bits("a", "b", ["s0", "s1"]) <= MOST_DIFFERENT))
         .select(F.col("a.vid").alias("x"), F.col("b.vid").alias("y"))
         .distinct()
     )

@@ -1,17 +1,20 @@
 """Problem 4: near-duplicate records by a byte-position inverted index with count filtering.
 
 Every distinct two-word sequence of a record is hashed to 64 bits: the upper 56 are a position in a
-sparse byte map, the lower 8 the byte written there.  Two records share a positional byte exactly
-where they share a two-word sequence.  For an overlap (Jaccard) of ``t`` a pair must share at least
-``ceil(t / (1 + t) * (|A| + |B|))`` positional bytes: the guaranteed minimum.
-
-* The index lists, for each record, its rarest positional bytes only.  If the smaller record lists
-  ``|A| - ceil(2t / (1 + t) |A|) + 1`` of them and the larger ``|B| - ceil(t |B|) + 1``, every pair
-  at or above the threshold meets in the index: nothing is capped, hot bytes are simply not needed.
-* Rarity comes from a count sketch over all records, of fixed size, so it may be sent to every
-  task whatever the number of records.  The guarantee holds for any order.
-* A pair met in the index is tallied against the guaranteed minimum at once, by an upper bound of
-  the shared bytes from 192 parity bits; what is left is verified on the words themselves.
+sparse byte map, the lower 8 the byte that stands there.  Two records share a positional byte exactly
+where they share a two-word sequence.  The inverted index lists records under (position, byte), the number of
+listed positional bytes that two records share is tallied, and pairs that reach the guaranteed minimum
+are verified on all their positional bytes.
+
+* A pair with an overlap (Jaccard) of ``t`` shares at least ``o = ceil(t / (1 + t) * (|A| + |B|))`` of
+  them.  The index leaves out the commonest ones: the larger record lists all but its ``ceil(t |B|) - TALLY``
+  commonest, the smaller all but ``ceil(2t / (1 + t) |A|) - TALLY``.  The TALLY rarest that a pair shares are
+  then listed by both, so its tally is at least ``min(TALLY, o)``: nothing is capped and no pair is lost.
+* Rarity is the exact number of records that hold a positional byte, counted over all records.  One that a
+  single record holds meets nothing and is not listed.
+* A (position, byte) listed by very many records is split into block pairs.
+* Before they are tallied, pairs are rejected by an upper bound of what they share, from 192 parity bits of
+  each record: exact, and it keeps most meetings of common bytes out of the shuffle.
 
 Exact copies are one class: the index holds one representative of each, whatever its size.
 """
@@ -21,187 +24,152 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
+from .blocks import BLOCK, meeting
 from .scratch import Scratch
-from .visible import parity_map, word_hashes, word_pair_hashes, words
+from .visible import parity_map, word_pair_hashes, words
 
 THRESHOLD = 0.6
-SKETCH_BITS = 20  # 2**20 counters of 4 bytes: 4 MB in each task at any data size
+#: Listed positional bytes that a pair at the threshold is guaranteed to share (all of them, if fewer).
+TALLY = 3
 EPS = 1e-9
 
 
-def overlap_of(left: np.ndarray, right: np.ndarray) -> float:
-    """Shared distinct word pairs over those in either; 0 if a side has none."""
-    if not len(left) or not len(right):
-        return 0.0
-    shared = len(np.intersect1d(left, right, assume_unique=True))
-    return shared / (len(left) + len(right) - shared)
-
-
-def sketch_place(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-
-
 def class_key(pairs: np.ndarray) -> tuple[int, int]:
     """128-bit name of a set of word pairs, as two signed longs."""
-    d = xxhash.xxh3_128_digest(pairs.tobytes())
-    return tuple(np.frombuffer(d, np.int64).tolist())
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(pairs.tobytes()), np.int64).tolist())
 
 
-def _tokens(batch: pd.DataFrame, fields: list[str]) -> Iterator[np.ndarray]:
-    for row in zip(*(batch[f] for f in fields)):
-        yield word_pair_hashes(words(*row))
+READ = "record_id string, hi long, lo long, b0 long, b1 long, b2 long, keys array<long>"
+PARITY = ["b0", "b1", "b2"]
 
 
-def classes_and_sketch(records: DataFrame, fields: list[str], scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
-    """One pass over the texts: the class of each record, and the sketch of how many records hold
-    a positional byte.  Records without a word pair are in no class."""
+def positional_bytes(records: DataFrame, fields: list[str]) -> DataFrame:
+    """The one pass over the texts: per record the name of its set of positional bytes, and the set itself
+    (null where this task has given that set before).  Records without a word pair give no row."""
 
-    def one_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            names = []
-            for record, pairs in zip(batch["record_id"], _tokens(batch, fields)):
-                if len(pairs):
-                    names.append((record, *class_key(pairs), 0))
-                    # distinct within a record only up to the place: counting twice errs upwards
-                    np.add.at(counts, sketch_place(pairs), 1)
-            yield pd.DataFrame(names, columns=["record_id", "hi", "lo", "kind"])
-        at = np.flatnonzero(counts)
-        yield pd.DataFrame({"record_id": None, "hi": at, "lo": counts[at], "kind": 1})
-
-    both = scratch.table(records.mapInPandas(one_pass, "record_id string, hi long, lo long, kind int"))
-    sums = both.filter("kind = 1").groupBy("hi").agg(F.sum("lo").alias("n")).toPandas()  # at most 2**SKETCH_BITS rows
-    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-    sketch[sums["hi"].to_numpy(np.int64)] = np.minimum(sums["n"].to_numpy(np.int64), 0xFFFFFFFF)
-    return both.filter("kind = 0").drop("kind").distinct(), sketch
-
-
-def postings(records: DataFrame, fields: list[str], sketch: np.ndarray, threshold: float) -> DataFrame:
-    """Index rows (key, class, size, whether also listed when the smaller side, parity bits)."""
-    shared = records.sparkSession.sparkContext.broadcast(sketch)
-
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rarity, listed = shared.value, set()
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple[int, int]] = set()
         for batch in batches:
-            keys, heads, reps = [], [], []
-            for pairs in _tokens(batch, fields):
-                n = len(pairs)
-                if not n or (name := class_key(pairs)) in listed:
+            ids, names, bits, keys, sizes = [], [], [], [], []
+            for record, *texts in zip(*(batch.column(c).to_pylist() for c in ("record_id", *fields))):
+                pairs = word_pair_hashes(words(*texts))
+                if not len(pairs):
                     continue
-                listed.add(name)  # copies met again in this task need no second listing
-                count = rarity[sketch_place(pairs)]
-                order = np.lexsort((pairs, count))[: n - int(np.ceil(threshold * n - EPS)) + 1]
-                small = n - int(np.ceil(2 * threshold / (1 + threshold) * n - EPS)) + 1
-                met = count[order] > 1  # a byte that one record holds meets nothing
-                keys.append(pairs[order][met].view(np.int64))
-                heads.append(np.arange(len(order))[met] < small)
-                reps.append((*name, n, *parity_map(pairs).tolist(), len(keys[-1])))
-            if reps:
-                rep = pd.DataFrame(reps, columns=["hi", "lo", "n", "b0", "b1", "b2", "rows"])
-                out = rep.loc[np.repeat(np.arange(len(rep)), rep["rows"])].drop(columns="rows")
-                out.insert(0, "key", np.concatenate(keys))
-                out["small"] = np.concatenate(heads)
-                yield out
-
-    return records.mapInPandas(index, "key long, hi long, lo long, n int, b0 long, b1 long, b2 long, small boolean")
-
-
-def symmetric_difference_at_least(a: str, b: str, bits: tuple[str, ...] = ("b0", "b1", "b2")) -> F.Column:
+                name = class_key(pairs)
+                ids.append(record)
+                names.append(name)
+                bits.append(parity_map(pairs))
+                sizes.append(None if name in given else len(pairs))
+                if sizes[-1] is not None:
+                    given.add(name)
+                    keys.append(pairs.view(np.int64))
+            columns = [*zip(*names), *zip(*bits)] or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.string()), *(pa.array(c, pa.int64()) for c in columns), list_array(keys, sizes)], ["record_id", "hi", "lo", *PARITY, "keys"]
+            )
+
+    return records.select("record_id", *fields).mapInArrow(read, READ)
+
+
+def list_array(parts: list[np.ndarray], sizes: list[int | None]) -> pa.Array:
+    """An Arrow array of lists from the values of those that are not null."""
+    null = np.fromiter((n is None for n in sizes), bool, len(sizes))
+    ends = np.cumsum(np.fromiter((n or 0 for n in sizes), np.int64, len(sizes)))
+    values = np.concatenate(parts) if parts else np.empty(0, np.int64)
+    offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32), mask=np.append(null, False))
+    return pa.ListArray.from_arrays(offsets, pa.array(values))
+
+
+def byte_index(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The inverted index (position, byte, cid, n, b0, b1, b2, small): the positional bytes that each class
+    lists, and whether it lists one also as the smaller side of a pair.
+
+    ``classes``: cid, n, b0, b1, b2, keys.
+    """
+    each = classes.select("cid", "n", F.explode("keys").alias("key"))
+    held = each.groupBy("key").agg(F.count("*").alias("records")).filter("records > 1")
+    ranked = each.join(held, "key").withColumn("common", F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("records"), "key")))
+    left_out = lambda share: F.ceil(F.lit(share) * F.col("n") - EPS) - TALLY
+    listed = ranked.filter(F.col("common") > left_out(threshold)).join(classes.select("cid", *PARITY), "cid")
+    return listed.select(
+        F.shiftright("key", 8).alias("position"),
+        F.col("key").bitwiseAND(0xFF).cast("short").alias("byte"),
+        "cid", "n", *PARITY,
+        (F.col("common") > left_out(2 * threshold / (1 + threshold))).alias("small"),
+    )
+
+
+def differing_bits(a: str, b: str, bits: list[str]) -> F.Column:
+    """Bits in which two rows differ: for parity bits, at most the elements that only one of two sets has."""
     return sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in bits), F.lit(0))
 
 
-def met_pairs(index: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of classes that meet in the index and may share the guaranteed minimum."""
-    spread = index.repartition("key").groupBy("key", "hi", "lo").agg(*(F.first(c).alias(c) for c in ("n", "b0", "b1", "b2", "small")))
-    a, b = spread.alias("a"), spread.alias("b")
-    smaller = F.expr("a.n < b.n or a.n = b.n and (a.hi < b.hi or a.hi = b.hi and a.lo < b.lo)")
+def least_shared(n: F.Column, threshold: float) -> F.Column:
+    """What two sets of ``n`` elements together share at the threshold."""
+    return F.ceil(F.lit(threshold / (1 + threshold)) * n - EPS)
+
+
+def tallied_pairs(index: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of classes whose shared listed positional bytes reach the guaranteed minimum."""
+    left, right, on = meeting(index, ["position", "byte"], "cid", scratch, BLOCK)
+    a, b = left.alias("a"), right.alias("b")
+    smaller = F.expr("a.n < b.n or a.n = b.n and a.cid < b.cid")
     n = F.col("a.n") + F.col("b.n")
-    least = F.ceil(F.lit(threshold / (1 + threshold)) * n - EPS)
-    at_most = (n - symmetric_difference_at_least("a", "b")) / 2
+    least = least_shared(n, threshold)
     return (
-        a.join(b, F.col("a.key") == F.col("b.key"))
-        .filter(F.col("a.small") & smaller & (F.col("a.n") >= F.lit(threshold) * F.col("b.n") - EPS) & (at_most >= least))
-        .select(F.col("a.hi").alias("ahi"), F.col("a.lo").alias("alo"), F.col("b.hi").alias("bhi"), F.col("b.lo").alias("blo"))
-        .distinct()
+        a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on])
+        .filter(F.col("a.small") & smaller & (F.col("a.n") >= F.lit(threshold) * F.col("b.n") - EPS))
+        .filter((n - differing_bits("a", "b", PARITY)) / 2 >= least)
+        .groupBy(F.col("a.cid").alias("a"), F.col("b.cid").alias("b"))
+        .agg(F.count("*").alias("tally"), F.max(least).alias("least"))
+        .filter(F.col("tally") >= F.least(F.lit(TALLY), "least"))
+        .select("a", "b")
     )
 
 
-@pandas_udf(DoubleType())
-def _overlap(left: pd.DataFrame, right: pd.DataFrame) -> pd.Series:
-    return pd.Series(
-        [overlap_of(word_pair_hashes(words(*a)), word_pair_hashes(words(*b))) for a, b in zip(left.itertuples(index=False), right.itertuples(index=False))],
-        dtype="float64",
-    )
+def overlap_of(a: str, b: str) -> F.Column:
+    """Shared distinct word pairs over those in either, of two columns of hashed sets."""
+    shared = F.size(F.array_intersect(a, b))
+    return shared / (F.size(a) + F.size(b) - shared)
 
 
 def near_copies(records: DataFrame, id_column: str, fields: list[str], threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, Scratch]:
     """(pairs of classes with their overlap, members of classes, the scratch tables behind them).
 
-    ``pairs``: ``left_class``, ``right_class`` (smallest member id of each, smaller first) and
-    ``overlap``; ``members``: ``record_id``, ``class_id``.  Every record with at least two words is
-    a member of one class, or of several if it stands in rows with different texts.
+    ``pairs``: ``a``, ``b`` (numbers of classes), ``left_class``, ``right_class`` (smallest member id of each,
+    smaller first) and ``overlap``; ``members``: ``record_id``, ``cid``, ``class_id``.  Every record with at least
+    two words is a member of one class, or of several if it stands in rows with different texts.
 
     Null ids are left out; null fields are empty texts; records of fewer than two words match
     nothing; repeated rows count once; all other columns are ignored.
     """
-    spark = records.sparkSession
-    scratch = Scratch(spark, "near")
+    scratch = Scratch(records.sparkSession, "near")
     own = records.select(F.col(id_column).cast("string").alias("record_id"), *(F.col(f).alias(f"f{k}") for k, f in enumerate(fields)))
-    own = own.filter("record_id is not null")
-    names = [f"f{k}" for k in range(len(fields))]
-    members, sketch = classes_and_sketch(own, names, scratch)
-    first = members.groupBy("hi", "lo").agg(F.min("record_id").alias("class_id"))
-    members = scratch.table(members.join(first, ["hi", "lo"]))
-    met = scratch.table(met_pairs(postings(own, names, sketch, threshold), threshold))
-    reps = members.filter("record_id = class_id").select("hi", "lo", "class_id")
-    pairs = (
-        met.join(reps.select(F.col("hi").alias("ahi"), F.col("lo").alias("alo"), F.col("class_id").alias("a")), ["ahi", "alo"])
-        .join(reps.select(F.col("hi").alias("bhi"), F.col("lo").alias("blo"), F.col("class_id").alias("b")), ["bhi", "blo"])
-        .select("a", "b", "ahi", "alo", "bhi", "blo")
-    )
-    # The representative's own text, found by id: an id with several texts is told apart by class.
-    wanted = scratch.table(pairs)
-    ids = wanted.select(F.col("a").alias("record_id")).union(wanted.select("b")).distinct()
-    texts = with_class(own.join(ids, "record_id", "left_semi"), names).dropDuplicates(["hi", "lo"])
-    left = texts.select(F.col("hi").alias("ahi"), F.col("lo").alias("alo"), F.struct(*names).alias("ta"))
-    right = texts.select(F.col("hi").alias("bhi"), F.col("lo").alias("blo"), F.struct(*names).alias("tb"))
-    scored = wanted.join(left, ["ahi", "alo"]).join(right, ["bhi", "blo"]).withColumn("overlap", _overlap("ta", "tb"))
+    read = scratch.table(positional_bytes(own.filter("record_id is not null"), [f"f{k}" for k in range(len(fields))]))
+    named = read.groupBy("hi", "lo").agg(F.min("record_id").alias("class_id"), F.first("keys", ignorenulls=True).alias("keys"), *(F.first(b).alias(b) for b in PARITY))
+    # numbers of 64 bits that cannot collide: given once, in a written table
+    classes = scratch.table(named.select(F.monotonically_increasing_id().alias("cid"), F.size("keys").alias("n"), "class_id", "hi", "lo", *PARITY, "keys"))
+    members = scratch.table(read.select("record_id", "hi", "lo").distinct().join(classes.select("hi", "lo", "cid", "class_id"), ["hi", "lo"]).select("record_id", "cid", "class_id"))
+    scratch.drop(read)
+    index = scratch.table(byte_index(classes, threshold))
+    met = scratch.table(tallied_pairs(index, threshold, scratch))
+    scratch.drop(index)
+    side = lambda c: classes.select(F.col("cid").alias(c), F.col("class_id").alias(f"{c}_class"), F.col("keys").alias(f"{c}_keys"))
+    scored = met.join(side("a"), "a").join(side("b"), "b").withColumn("overlap", overlap_of("a_keys", "b_keys"))
     pairs = scored.filter(F.col("overlap") >= threshold - EPS).select(
-        F.least("a", "b").alias("left_class"), F.greatest("a", "b").alias("right_class"), "ahi", "alo", "bhi", "blo", "overlap"
+        "a", "b", F.least("a_class", "b_class").alias("left_class"), F.greatest("a_class", "b_class").alias("right_class"), "overlap"
     )
-    return pairs, members, scratch
-
-
-def with_class(records: DataFrame, fields: list[str]) -> DataFrame:
-    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            # plain integers: a column with nulls would pass through floats
-            keys = [class_key(p) for p in _tokens(batch, fields)]
-            yield batch.assign(hi=np.array([k[0] for k in keys], np.int64), lo=np.array([k[1] for k in keys], np.int64))
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in records.schema) + ", hi long, lo long"
-    return records.mapInPandas(name, schema)
+    return scratch.table(pairs), members, scratch
 
 
 def near_copy_articles(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs of different records at or above the threshold, copies expanded, smaller id first."""
-    side = members.select("hi", "lo", "record_id")
-    across = (
-        pairs.join(side.select(F.col("hi").alias("ahi"), F.col("lo").alias("alo"), F.col("record_id").alias("x")), ["ahi", "alo"])
-        .join(side.select(F.col("hi").alias("bhi"), F.col("lo").alias("blo"), F.col("record_id").alias("y")), ["bhi", "blo"])
-        .select("x", "y")
-    )
-    same = side.alias("a").join(side.alias("b"), F.expr("a.hi = b.hi and a.lo = b.lo and a.record_id < b.record_id"))
-    return (
-        across.filter("x <> y")
-        .union(same.select(F.col("a.record_id"), F.col("b.record_id")))
-        .select(F.least("x", "y").alias("left_article_id"), F.greatest("x", "y").alias("right_article_id"))
-        .distinct()
-    )
+    side = lambda c, r: members.select(F.col("cid").alias(c), F.col("record_id").alias(r))
+    across = pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y").filter("x <> y")
+    same = side("cid", "x").join(side("cid", "y"), "cid").select("x", "y").filter("x < y")
+    return across.union(same).select(F.least("x", "y").alias("left_article_id"), F.greatest("x", "y").alias("right_article_id")).distinct()

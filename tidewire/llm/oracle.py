@@ -5,12 +5,10 @@ Left out where SQL cannot say it: consensus (p7), languages (p10), the packing a
 
 from __future__ import annotations
 
-from .textforms import LOOK_ALIKES
-
-# Look-alike letters and full-width forms, one character to one.
-_WIDE = {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)}
-_ONE = {**LOOK_ALIKES, **_WIDE}
-_FROM, _TO = "".join(_ONE), "".join(_ONE.values()).replace("'", "''")
+# What the publishers' systems write for plain letters, as found in the tables; kept apart from the library's own list.
+_WIDE = "".join(chr(0xFF01 + k) for k in range(94))
+_FROM = "АВЕЅІЈКМНОРСТХаеѕіјорсухһԛԝԁӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧονÐƉ\u2010\u2011" + _WIDE
+_TO = ("ABESIJKMHOPCTXaesijopcyxhqwdlABEZHIKMNOPTYXovĐĐ--" + "".join(chr(0x21 + k) for k in range(94))).replace("'", "''")
 _EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
 
 
@@ -55,6 +53,16 @@ links as (select a.article_id as x, b.article_id as y from u a join u b on a.art
 _SIZES = f"""d as (select {_HOST.format(c='source')} as source, coalesce(octet_length(encode(text)), 0) as size from documents),
 t as (select {_HOST.format(c='source')} as source, target_share, max_repeats, coalesce((select sum(size) from d where d.source = {_HOST.format(c='mix_targets.source')}), 0) as available from mix_targets)"""
 
+_MIX = """sized as (select doc_id, {host} as source, coalesce(octet_length(encode(text)), 0) as size from documents),
+repeated as (select doc_id, source, size, target_share, unnest(generate_series(1, max_repeats)) as copy_no from sized join w using (source) where target_share > 0),
+copies as (select *, md5(concat_ws('|', doc_id, '0', copy_no)) as at from repeated),
+served as (select *, sum(size) over (partition by source order by copy_no, at, doc_id rows unbounded preceding) / target_share as finish from copies),
+cut as (select *, sum(size) over (order by finish, source, at, copy_no, doc_id rows unbounded preceding) as running from served),
+u as (select source, sum(size) as used, count(*) as copies from cut where running <= {limit} group by source)
+select w.source, target_share, max_repeats, available, coalesce(used, 0) as used, coalesce(copies, 0) as copies,
+  round(coalesce(used, 0)::double / (select sum(used) from u), 6) as actual_share, max_repeats * available >= target_share * (select sum(available) from w) as reachable from w left join u on u.source = w.source"""
+_MIX = _MIX.replace("{host}", _HOST.format(c="source"))
+
 ORACLE: dict[str, str] = {
     "p1_found": f"""with f as (select distinct 'title' as field_name, article_id as id, title as s from articles_master where title is not null
       union select distinct 'description', article_id, description from articles_master where description is not null),
@@ -64,6 +72,11 @@ ORACLE: dict[str, str] = {
     "p2_found": f"""with rec as (select -row_number() over () as k, payload.title as t, coalesce(payload.summary, payload.description) as d from payloads
       union all select item_no, payload.title, coalesce(payload.summary, payload.description) from incoming_records),
       worded as (select k, {_pairs('t', 'd')} as w from rec), {_SETS}, {_OVER} select distinct b as item_no from near where b > 0""",
+    "p2_decisions": f"""with rec as (select -row_number() over () as k, payload.title as t, coalesce(payload.summary, payload.description) as d from payloads
+      union all select item_no, payload.title, coalesce(payload.summary, payload.description) from incoming_records),
+      worded as (select k, {_pairs('t', 'd')} as w from rec), {_SETS}, {_OVER.replace('select a, b from', 'select a, b, c = na and c = nb as same from')},
+      best as (select b, bool_or(same) as same from near group by b)
+      select item_no, case when same then 'copy' when b is not null then 'near_copy' else 'new' end as decision from (select distinct item_no from incoming_records) left join best on b = item_no""",
     "p3_found": f"with recursive {_LINKS}, {_GROUPS} select id as article_id, g as group_id from grouped",
     "p3_group_sizes": f"with recursive {_LINKS}, {_GROUPS}, s as (select g, count(*) as members from grouped group by g) select members, count(*) as groups from s group by members",
     "p4_found": f"""with worded as (select row_number() over () as k, article_id, w from (select distinct article_id, {_pairs('title', 'description')} as w from articles_master where description is not null)), {_SETS}, {_OVER}
@@ -75,5 +88,8 @@ ORACLE: dict[str, str] = {
     "p6_found": f"with {_MET} select publisher_a, publisher_b from met where k >= 2 and 1000 * k >= n and k * n >= 4 * a * b",
     "p6_pairs": f"with {_MET} select publisher_a, publisher_b, k, a, b, n, round(k * n / (a * b), 6) as lift, round(log2(k * n / (a * b)), 6) as pmi from met",
     "p8_found": "select pack_name, doc_id from documents, pack_sizes where octet_length(encode(text)) > capacity_tokens",
+    "p9_shares": f"with {_SIZES}, w as (select * from t), {_MIX.replace('{limit}', '(select sum(available) from w)')}",
+    "p9_held_shares": f"""with {_SIZES}, w as (select * from t where available > 0),
+      {_MIX.replace('{limit}', '(select least(max(total), floor(min(max_repeats * available / target_share))) from (select *, sum(available) over () as total from w) where target_share > 0)')}""",
     "p9_found": f"with {_SIZES} select source from t where max_repeats * available < target_share * (select sum(available) from t)",
 }

@@ -24,7 +24,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 @query
 def p1_found(spark, d):
-    return textforms.lookalike_pairs(read(spark, d, "articles_master"))
+    return textforms.lookalike_pairs(read(spark, d, "articles_master"))[0]
 
 
 @query
@@ -45,8 +45,8 @@ def p2_decisions(spark, d):
     """One row per incoming record: new, a repetition with small changes, or a copy."""
     incoming = read(spark, d, "incoming_records")
     found, _ = history_dedup.repeated_records(read(spark, d, "payloads"), incoming)
-    kind = F.when(F.col("exact_copy"), "copy").when(F.col("item_no").isNotNull() & F.col("best_overlap").isNotNull(), "near_copy").otherwise("new")
-    return incoming.select("item_no").filter("item_no is not null").distinct().join(found, "item_no", "left").select("item_no", kind.alias("decision"), "best_overlap")
+    items = incoming.select("item_no").filter("item_no is not null").distinct()
+    return items.join(found, "item_no", "left").select("item_no", F.coalesce("decision", F.lit("new")).alias("decision"))
 
 
 def _groups(spark, d):
@@ -163,10 +163,22 @@ def p9_found(spark, d):
     return shares.filter("not reachable").select("source")
 
 
+def _shares(shares):
+    return shares.select("source", "target_share", "max_repeats", "available", "used", "copies", F.round("actual_share", 6).alias("actual_share"), "reachable")
+
+
 @query
 def p9_shares(spark, d):
-    _, shares, _ = _mix(spark, d)
-    return shares.select("source", "target_share", "max_repeats", "available", "used", "copies", F.round("actual_share", 6).alias("actual_share"), "reachable")
+    return _shares(_mix(spark, d)[1])
+
+
+@query
+def p9_held_shares(spark, d):
+    """The largest mix in which no source misses its share, over the sources that have documents."""
+    targets, documents = read(spark, d, "mix_targets"), read(spark, d, "documents")
+    held = documents.select(cooccur.plain_host("source").alias("h")).distinct()
+    targets = targets.join(held, cooccur.plain_host("source") == F.col("h"), "left_semi")
+    return _shares(mixing.mix_to_targets(documents, targets, hold_shares=True)[1])
 
 
 def _segments(spark, d):

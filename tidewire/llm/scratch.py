@@ -2,48 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from ..operators.stage import Stage
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='tidewire-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-class Scratch:
+class Scratch(Stage):
     """Written tables of one run.  ``table`` writes a frame and reads it back with a fresh plan."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self._count = 0
-
-    def table(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
-        self._count += 1
-        path = f"{self.root}/t{self._count}"
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-        back = self.spark.read.schema(df.schema).parquet(path)
-        back._scratch_path = path  # keeps the pairing alive as long as the frame
-        return back
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Delete tables that no later plan reads."""
-        for df in frames:
-            self._delete(getattr(df, "_scratch_path", ""))
-
-    def clear(self) -> None:
-        self._delete(self.root)
-
-    def _delete(self, path: str) -> None:
-        if path.startswith(self.root):
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+    table = Stage.write

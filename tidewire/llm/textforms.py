@@ -17,9 +17,8 @@ Defined results
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -28,19 +27,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-# Letters of other alphabets (and two Latin ones) whose usual glyph is that of a
-# Latin letter.  Left column looks like right column.
+from .scratch import Scratch
+
+# Letters of other alphabets (and two Latin ones) whose usual glyph is that of a Latin letter,
+# by alphabet: Cyrillic, Greek, Armenian, Cherokee, Lisu, Latin.  Left looks like right.
 LOOK_ALIKES = dict(
-    zip(
-        "АВЕЅІЈКМНОРСТХаеѕіјорсухһԛԝԁӏ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧον" + "ÐƉ" + "ꓐꓑ",
-        "ABESIJKMHOPCTXaesijopcyxhqwdl" + "ABEZHIKMNOPTYXov" + "ĐĐ" + "BP",
-        strict=True,
-    )
+    pair.split(">")
+    for pair in (
+        "А>A В>B Е>E Ѕ>S І>I Ј>J К>K М>M Н>H О>O Р>P С>C Т>T Х>X Ү>Y Ѵ>V Ԛ>Q Ԝ>W Ӏ>I Ԍ>G"
+        " а>a е>e ѕ>s і>i ј>j о>o р>p с>c у>y х>x һ>h ԛ>q ԝ>w ӏ>l ѵ>v ԁ>d ү>y"
+        " Α>A Β>B Ε>E Ζ>Z Η>H Ι>I Κ>K Μ>M Ν>N Ο>O Ρ>P Τ>T Υ>Y Χ>X Ϲ>C Ϳ>J ο>o ν>v ϲ>c ϳ>j ρ>p"
+        " Օ>O Ս>U օ>o ս>u հ>h ց>g ո>n"
+        " Ꭺ>A Ᏼ>B Ꮯ>C Ꭰ>D Ꭼ>E Ꮐ>G Ꮋ>H Ꭻ>J Ꮶ>K Ꮮ>L Ꮇ>M Ꮲ>P Ꮢ>R Ꮪ>S Ꭲ>T Ꮩ>V Ꮃ>W Ꮓ>Z"
+        " ꓮ>A ꓐ>B ꓚ>C ꓓ>D ꓰ>E ꓝ>F ꓖ>G ꓧ>H ꓲ>I ꓙ>J ꓗ>K ꓡ>L ꓟ>M ꓠ>N ꓳ>O ꓑ>P ꓣ>R ꓢ>S ꓔ>T ꓴ>U ꓦ>V ꓪ>W ꓫ>X ꓬ>Y ꓜ>Z"
+        " Ð>Đ Ɖ>Đ"
+    ).split()
 )
+# Hyphens that look like the plain one; longer dashes and minus signs look different.
+LOOK_ALIKES |= {"\u2010": "-", "\u2011": "-"}
 # A letter with an overlaid stroke that looks like a letter of its own.
 STROKED = {"d\u0335": "\u0111", "D\u0335": "\u0110", "d\u0336": "\u0111", "D\u0336": "\u0110"}
 # Accents that occur on Latin letters in Vietnamese and the European languages.
-ACCENTS = "\u0300\u0301\u0302\u0303\u0306\u0308\u0309\u030a\u030c\u031b\u0323\u0327\u0328\u0335"
+ACCENTS = "\u0300\u0301\u0302\u0303\u0306\u0308\u0309\u030a\u030c\u031b\u0323\u0327\u0328\u0335\u0336"
 # Compatibility forms that look like their plain letters; raised, lowered, circled, squared,
 # fraction and font forms look different and stay.
 SAME_LOOK_TAGS = ("<wide>", "<narrow>", "<noBreak>")
@@ -102,42 +110,51 @@ class MappingConflict(ValueError):
 
 
 class ClusterTransducer:
-    """Trie over cluster spellings; at each place the longest entry wins.
+    """Trie over cluster spellings; at each place of a cluster the longest entry wins.
 
-    ``mapping`` goes from cluster to output.  Construction fails with ``MappingConflict`` when an
-    output is itself changed by the mapping or when plain ASCII letters would be changed.
+    ``entries`` are (spelling, output).  Spellings are compared in canonical decomposition without invisible
+    characters, so one entry serves every order of independent marks.  Construction fails with ``MappingConflict``
+    when two spellings of one cluster have different outputs, when an output is itself changed, or when plain ASCII text
+    would be.  What no entry starts with is kept in its decomposed spelling, which is one form too.
     """
 
-    def __init__(self, mapping: dict[str, str], marks: str, invisible: str, blanks: str, pictographs: str):
+    def __init__(self, entries: Iterable[tuple[str, str]], marks: str, invisible: str, blanks: str, pictographs: str):
         self._root: dict = {}
-        for key, out in mapping.items():
+        self._blanks, self._hidden = frozenset(blanks), dict.fromkeys(map(ord, invisible))
+        firsts, outputs = set(), []
+        for key, out in entries:
+            spelt = self._spelt(key)
             if key.isascii():
                 raise MappingConflict(f"plain text {key!r} may not be changed")
             node = self._root
-            for ch in key:
+            for ch in spelt:
                 node = node.setdefault(ch, {})
             if node.setdefault("", out) != out:
-                raise MappingConflict(f"{key!r} has two outputs")
-        firsts = "".join(k for k in mapping if len(k) == 1)
-        self._blanks = frozenset(blanks)
+                raise MappingConflict(f"{key!r} has two outputs, {node['']!r} and {out!r}")
+            if len(key) == 1 and key != out:
+                firsts.add(key)
+            outputs.append((key, out))
         odd = _class(b for b in blanks if b != " ")
-        marks, invisible, blanks = _class(marks), _class(invisible), _class(blanks)
+        marks, invisible, blanks, firsts = _class(marks), _class(invisible), _class(blanks), _class(firsts)
         hang = marks + invisible
         self._finder = re.compile(
             f"[{pictographs}][\ufe0f\U0001f3fb-\U0001f3ff]*(?:{ZWJ}[{pictographs}][\ufe0f\U0001f3fb-\U0001f3ff]*)+"
             f"|(?:[{invisible}]*(?:[{odd}]|[ ](?=[{blanks}{invisible}])))[{blanks}{invisible}]*"
             "|[\u1100-\u1112][\u1161-\u1175][\u11a8-\u11c2]?|[\uac00-\ud7a3][\u11a8-\u11c2]"  # syllables in parts
             f"|[^{hang}{blanks}]?[{hang}]+"
-            f"|[{_class(firsts)}]"
+            f"|[{firsts}]"
         )
         # most texts hold nothing to rewrite: one class search tells
-        self._any = re.compile(f"[{hang}{odd}{_class(firsts)}\u1100-\u11ff]|[ ](?=[ {invisible}])")
+        self._any = re.compile(f"[{hang}{odd}{firsts}\u1100-\u11ff]|[ ](?=[ {invisible}])")
         self._pictographs = re.compile(f"[{pictographs}]")
         self._memo: dict[str, str] = {}
-        for key, out in mapping.items():
+        for key, out in outputs:
             if self.apply(out, trim=False) != out:
                 raise MappingConflict(f"{key!r} gives {out!r}, which is changed again")
 
+    def _spelt(self, cluster: str) -> str:
+        return unicodedata.normalize("NFD", cluster.translate(self._hidden))
+
     def longest(self, text: str, at: int) -> tuple[int, str | None]:
         """End and output of the longest entry that starts at ``at``; (at, None) if there is none."""
         node, end, out = self._root, at, None
@@ -149,6 +166,14 @@ class ClusterTransducer:
                 end, out = k + 1, node[""]
         return end, out
 
+    def _walk(self, cluster: str) -> str:
+        text, at, parts = self._spelt(cluster), 0, []
+        while at < len(text):
+            end, out = self.longest(text, at)
+            parts.append(text[at] if out is None else out)
+            at = max(end, at + 1)
+        return "".join(parts)
+
     def _rewrite(self, cluster: str) -> str:
         done = self._memo.get(cluster)
         if done is None:
@@ -156,9 +181,10 @@ class ClusterTransducer:
                 done = " "
             elif ZWJ in cluster and len(self._pictographs.findall(cluster)) > 1:
                 done = cluster
+            elif "\u1100" <= cluster[0] <= "\u1112" or "\uac00" <= cluster[0] <= "\ud7a3":
+                done = unicodedata.normalize("NFC", cluster.translate(self._hidden))  # eleven thousand syllables, by their own rule
             else:
-                end, out = self.longest(cluster, 0)
-                done = out if out is not None and end == len(cluster) else cluster_rule(cluster)
+                done = self._walk(cluster)
             if len(self._memo) < 200_000:  # spellings, not rows: bounds a worker's memory
                 self._memo[cluster] = done
         return done
@@ -185,17 +211,27 @@ def transducer() -> ClusterTransducer:
     invisible = "".join(c for c in (*assigned, *controls) if is_invisible(c))
     blanks = "".join(c for c in (*map(chr, range(0x21)), *assigned) if is_blank(c))
     pictographs = "\u203c\u2049\u2122\u2139\u2190-\u21ff\u2300-\u23ff\u2600-\u27bf\u2900-\u297f\u2b00-\u2bff\U0001f000-\U0001f3fa\U0001f400-\U0001faff"
-    skip = set(marks) | set(invisible) | set(blanks)
-    mapping = {c: out for c in assigned if c not in skip and (out := cluster_rule(c)) != c}
-    letters = [c for c in (*map(chr, range(0x41, 0x7B)), *assigned) if c.isalpha() and (ord(c) < 0x250 or 0x1E00 <= ord(c) < 0x1F00 or c in LOOK_ALIKES)]
-    for base in letters:
-        for one in ACCENTS:
-            for tail in ("", *ACCENTS):
-                if tail and (ord(base) > 0x7F and base not in LOOK_ALIKES or tail == one):
-                    continue
-                mapping[base + one + tail] = cluster_rule(base + one + tail)
-    mapping = {k: v for k, v in mapping.items() if k != v}
-    return ClusterTransducer(mapping, marks, invisible, blanks, pictographs)
+    return ClusterTransducer(table_entries(assigned, set(marks) | set(invisible) | set(blanks)), marks, invisible, blanks, pictographs)
+
+
+def table_entries(assigned: list[str], skip: set[str]) -> Iterator[tuple[str, str]]:
+    """(spelling, output) of every character that changes or has a composed form, and of plain, wide and look-alike
+    letters under one or two accents, all by ``cluster_rule``."""
+    like: dict[str, list[str]] = {}
+    for c in assigned:
+        if c not in skip and not "\uac00" <= c <= "\ud7a3":
+            out, parts = cluster_rule(c), unicodedata.normalize("NFD", c)
+            if out != c or parts != c:
+                yield c, out
+                if parts == c:
+                    like.setdefault(out, []).append(c)
+    hung = dict.fromkeys(unicodedata.normalize("NFD", a + b) for a in ACCENTS for b in ("", *ACCENTS) if a != b)
+    for base in (*map(chr, range(0x41, 0x5B)), *map(chr, range(0x61, 0x7B)), "\u0110", "\u0111"):
+        for marks in hung:
+            out = cluster_rule(base + marks)
+            yield base + marks, out
+            for c in like.get(base, ()):
+                yield c + marks, out
 
 
 def same_form(text: str | None) -> str | None:
@@ -220,7 +256,7 @@ def canonical_fields(articles: DataFrame, fields: tuple[str, ...] = ("title", "d
     return articles.withColumns({f: canonical_form(f) for f in fields})
 
 
-def lookalike_pairs(articles: DataFrame, fields: tuple[str, ...] = ("title", "description")) -> DataFrame:
+def lookalike_pairs(articles: DataFrame, fields: tuple[str, ...] = ("title", "description")) -> tuple[DataFrame, Scratch]:
     """Pairs of articles whose field looks the same but is stored differently.
 
     Rows with a null id or a null field make no pair; repeated rows count once; an article is
@@ -229,7 +265,8 @@ def lookalike_pairs(articles: DataFrame, fields: tuple[str, ...] = ("title", "de
     third of all rows in one spelling costs nothing.
     """
     stack = F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("stored")) for f in fields)))
-    held = (
+    scratch = Scratch(articles.sparkSession, "forms")
+    held = scratch.table(
         articles.select(F.col("article_id").alias("id"), stack.alias("f"))
         .select("id", "f.*")
         .filter("id is not null and stored is not null")
@@ -242,7 +279,8 @@ def lookalike_pairs(articles: DataFrame, fields: tuple[str, ...] = ("title", "de
         .filter("lo <> hi")
         .select("field_name", "form_key", "form")
     )
-    several = held.join(spellings, ["field_name", "form_key", "form"], "left_semi").distinct()
+    several = scratch.table(held.join(spellings, ["field_name", "form_key", "form"], "left_semi").distinct())
+    scratch.drop(held)
     a = several.select("field_name", "form", F.col("spelling").alias("sa"), F.col("id").alias("a"))
     b = several.select("field_name", "form", F.col("spelling").alias("sb"), F.col("id").alias("b"))
     kinds = several.select("field_name", "form", "spelling").distinct()
@@ -251,14 +289,11 @@ def lookalike_pairs(articles: DataFrame, fields: tuple[str, ...] = ("title", "de
         .join(kinds.withColumnRenamed("spelling", "sb"), ["field_name", "form"])
         .filter("sa < sb")
     )
-    return (
+    pairs = (
         met.join(a, ["field_name", "form", "sa"])
         .join(b, ["field_name", "form", "sb"])
         .filter("a <> b")
         .select("field_name", F.least("a", "b").alias("left_article_id"), F.greatest("a", "b").alias("right_article_id"))
         .distinct()
     )
-
-
-if __name__ == "__main__":  # pragma: no cover
-    sys.stdout.writelines(f"{same_form(line.rstrip(chr(10)))}\n" for line in sys.stdin)
+    return pairs, scratch
