@@ -268,19 +268,68 @@ def test_clusters_of_separate_blobs(spark):
     assert markov.similarity_clusters(df.limit(0))[0].isEmpty()
 
 
-def test_recall_of_the_index(spark):
-    rng = np.random.default_rng(7)
-    x = rng.normal(size=(400, 64))
+@pytest.mark.parametrize("dim, values", [(64, 1), (64, 2), (64, 3), (32, 2)])
+def test_recall_of_the_index(spark, dim, values):
+    rng, n, cosine = np.random.default_rng(7), 1500, 0.8005
+    x = rng.normal(size=(n, dim))
     x /= np.linalg.norm(x, axis=1)[:, None]
     z = rng.normal(size=x.shape)
     z -= (z * x).sum(1)[:, None] * x
     z /= np.linalg.norm(z, axis=1)[:, None]
-    y = 0.81 * x + np.sqrt(1 - 0.81**2) * z
+    y = cosine * x + np.sqrt(1 - cosine**2) * z
     rows = [(f"v{k}", v.astype(np.float32).tolist()) for k, v in enumerate(np.concatenate([x, y]))]
     df = spark.createDataFrame(rows, "article_id string, embedding array<float>")
     scratch = markov.Scratch(spark, "recall")
-    hashed = scratch.table(markov.hashed_vectors(df, 64, 2))
-    assert markov.near_vectors(hashed, markov.unit_vectors(df, hashed), 0.8, scratch).count() >= 0.95 * 400
+    different = markov.different_vectors(markov.hashed_vectors(df, dim, values), scratch)
+    ids = {r["vid"] for r in markov.near_vectors(different, 0.8, scratch).select(F.explode(F.array("x", "y")).alias("vid")).collect()}
+    assert len(ids) >= 0.97 * 2 * n
+
+
+def test_hash_values_follow_the_number_of_vectors():
+    assert [markov.hash_values(n, 64) for n in (0, 100, 10**5, 10**7, 10**10)] == [1, 1, 2, 3, 4]
+    assert 0.28 < markov.meet_once(64, 0.8) < 0.33 > markov.meet_once(512, 0.8)
+
+
+def dense_flow(joined, inflation=2.0, rounds=60):
+    """Clusters of a dense Markov clustering: columns whose largest rows are linked."""
+    m = joined / joined.sum(0)
+    for _ in range(rounds):
+        m = m @ m
+        m = m**inflation
+        m[m < 1e-9 * m.max(0)] = 0
+        m /= m.sum(0)
+    label = np.arange(len(m))
+    links = m >= (1 - 1e-6) * m.max(0)
+    for _ in range(len(m)):
+        for c in range(len(m)):
+            rows = [c, *np.flatnonzero(links[:, c])]
+            label[rows] = label[rows].min()
+    return label
+
+
+def test_flow_against_dense_matrices(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(14):
+        centre = rng.normal(size=64)
+        centre /= np.linalg.norm(centre)
+        for _ in range(rng.integers(3, 14)):
+            v = centre + rng.normal(size=64) * 0.052
+            rows.append((f"a{len(rows):03}", v.astype(np.float32).tolist()))
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    joined = (x @ x.T >= 0.85).astype(float)
+    parts = dense_flow(joined)
+    assert any((joined[i] != joined[j]).any() for i in range(len(x)) for j in range(i) if parts[i] == parts[j])  # not only twins
+    want = {}
+    for i, p in enumerate(parts):
+        want.setdefault(p, []).append(f"a{i:03}")
+    df = spark.createDataFrame(rows, "article_id string, embedding array<float>")
+    members, _, _ = markov.similarity_clusters(df, 0.85)
+    found = {}
+    for r in members.collect():
+        found.setdefault(r["first_article_id"], []).append(r["article_id"])
+    assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
 def test_markov_flow_splits_two_cliques_with_a_bridge(spark):

@@ -2,9 +2,10 @@
 
 The graph joins vectors with a cosine of at least the threshold.  Its pairs come from a
 cross-polytope hash index over every vector (never all pairs): two vectors are compared if they
-share a bucket in one of ``TABLES`` tables and their 128 sign bits are close enough, and then their
-cosine is computed exactly.  A pair at the threshold itself is met with a probability of 0.98, at
-a cosine of 0.89 with 0.9998; the tests measure it against brute force.
+share a bucket in one of the tables and their 128 sign bits are close enough, and then their
+cosine is computed exactly.  The number of tables follows from the chance that a pair at the threshold shares a
+hash value, simulated for the vectors' dimension, so that at most MISS of the pairs at the threshold itself are
+missed, and far fewer above it; the tests measure it against brute force.
 
 Markov clustering runs on the distributed sparse matrix of the graph with loops: squaring, inflation,
 pruning of small entries, until nothing moves.  Members with the same neighbours (true twins) have equal
@@ -15,15 +16,16 @@ strongest flow, then the nearest to the cluster's mean, represent them.
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import BLOCK, meeting
 from .groups import connected_groups
 from .near_copies import differing_bits
 from .scratch import Scratch
@@ -36,25 +38,46 @@ INFLATION = 2.0
 PRUNE = 1e-4
 STILL = 1e-3
 TIE = 1e-6
-LEAST_ROUNDS, ROUNDS = 3, 40
+LEAST_ROUNDS, ROUNDS = 3, 100
 SEED = 20
-#: Chance that a pair exactly at a cosine of 0.8 shares a cross-polytope value, and the share of such
-#: pairs that all tables together may miss.
-MEET_ONCE, MISS = 0.306, 0.02
-#: Rows of a bucket beyond which it is spread over block pairs.
-BLOCK = 4096
-#: Sign bits of 128 in which a pair at the threshold may differ: mean 26.2 and five deviations of 4.6.
-SIGN_BITS, MOST_DIFFERENT = 128, 49
+#: Share of the pairs exactly at the threshold that all tables together may miss.
+MISS = 0.02
+#: Rows that a bucket of vectors without neighbours should hold, at any number of vectors.
+BUCKET_ROWS = 256
+SIGN_BITS = 128
 TYPICAL = 3
 
 
-def hash_values(n: int) -> int:
-    """Cross-polytope values per table: buckets of about a hundred rows at any size."""
-    return 2 if n <= 1 << 22 else 3 if n <= 1 << 30 else 4
+def hash_values(n: int, dim: int) -> int:
+    """Cross-polytope values per table: as many as give buckets of BUCKET_ROWS."""
+    return max(1, int(np.ceil(np.log(max(n, 1) / BUCKET_ROWS) / np.log(2 * dim))))
 
 
-def tables(values: int) -> int:
-    return int(np.ceil(np.log(MISS) / np.log(1 - MEET_ONCE**values)))
+@lru_cache(maxsize=16)
+def meet_once(dim: int, threshold: float, pairs: int = 20_000) -> float:
+    """Chance that two vectors at the threshold share one cross-polytope value, by seeded simulation."""
+    rng = np.random.default_rng(SEED)
+    met = 0
+    for _ in range(pairs // 1000):
+        x, z = rng.normal(size=(2, 1000, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(1, keepdims=True) * x
+        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+        y = threshold * x + np.sqrt(1 - threshold**2) * z
+        p, q = np.abs(x).argmax(1), np.abs(y).argmax(1)
+        met += int(((p == q) & (np.sign(x[np.arange(1000), p]) == np.sign(y[np.arange(1000), q]))).sum())
+    return met / pairs
+
+
+def tables(values: int, dim: int, threshold: float = THRESHOLD) -> int:
+    meet = min(meet_once(dim, threshold) ** values, 1 - 1e-9)
+    return max(1, int(np.ceil(np.log(MISS) / np.log(1 - meet)))) if meet > 0 else 1
+
+
+def most_different(threshold: float) -> int:
+    """Sign bits in which a pair at the threshold may differ: the mean and five deviations."""
+    p = np.arccos(threshold) / np.pi
+    return int(np.ceil(SIGN_BITS * p + 5 * np.sqrt(SIGN_BITS * p * (1 - p))))
 
 
 def rotations(dim: int, count: int) -> np.ndarray:
@@ -63,34 +86,32 @@ def rotations(dim: int, count: int) -> np.ndarray:
     return np.linalg.qr(rng.normal(size=(count, dim, dim)))[0].astype(np.float32)
 
 
-def unit_rows(vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    """(places of the usable vectors, their unit rows): no nulls, no NaN, not zero; the most common
-    length of the batch wins where lengths differ."""
-    usable = [(k, np.asarray(v, np.float32)) for k, v in enumerate(vectors) if v is not None and len(v) and not any(x is None for x in v)]
-    usable = [(k, v) for k, v in usable if np.isfinite(v).all() and np.linalg.norm(v) > 0]
-    if not usable:
-        return np.empty(0, np.int64), np.empty((0, 0), np.float32)
-    x = np.stack([v for _, v in usable]).astype(np.float64)
-    return np.array([k for k, _ in usable]), (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+def unit_rows(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the usable vectors, their unit rows): of the length ``dim``, no nulls, no NaN, not zero."""
+    usable = [k for k, v in enumerate(vectors) if v is not None and len(v) == dim and None not in v]
+    x = np.array([vectors[k] for k in usable], np.float64).reshape(len(usable), dim)
+    norm = np.linalg.norm(x, axis=1)
+    good = np.isfinite(norm) & (norm > 0)
+    return np.array(usable, np.int64)[good], (x[good] / norm[good, None]).astype(np.float32)
 
 
-HASHED = "article_id string, vid long, s0 long, s1 long, buckets array<int>"
+HASHED = "article_id string, n1 long, n2 long, s0 long, s1 long, buckets array<int>, unit array<float>"
 
 
-def hashed_vectors(vectors: DataFrame, dim: int, values: int) -> DataFrame:
-    """Per row: the name of its unit vector, sign bits, and its bucket in each table (null for a vector
-    that this task has listed before: exact copies are one vector)."""
-    count = tables(values)
+def hashed_vectors(vectors: DataFrame, dim: int, values: int, threshold: float = THRESHOLD) -> DataFrame:
+    """Per row: the 128-bit name of its unit vector and its sign bits, and the vector's bucket in each table and the
+    vector itself where this task has not listed it before: exact copies are one vector."""
+    count = tables(values, dim, threshold)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn = rotations(dim, count * values)
-        signs = rotations(dim, -(-SIGN_BITS // dim) + count * values)[count * values :]
-        listed: set[int] = set()
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = rotations(dim, count * values + -(-SIGN_BITS // dim))
+        turn, signs = every[: count * values], every[count * values :]
+        listed: set[bytes] = set()
         for batch in batches:
-            at, x = unit_rows([v if v is not None and len(v) == dim else None for v in batch["embedding"]])
+            at, x = unit_rows(batch.column("embedding").to_pylist(), dim)
             if not len(at):
                 continue
-            names = np.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in np.round(x, 6)], np.uint64).view(np.int64)
+            names = [xxhash.xxh3_128_digest(r.tobytes()) for r in np.round(x, 6) + np.float32(0)]
             bucket = np.zeros((len(x), count), np.int64)
             for k in range(count * values):
                 y = x @ turn[k]
@@ -101,64 +122,50 @@ def hashed_vectors(vectors: DataFrame, dim: int, values: int) -> DataFrame:
             mixed = (bucket.astype(np.uint64) * np.uint64(count) + np.arange(count, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             keys = (mixed >> np.uint64(33)).astype(np.int32)
             bits = np.concatenate([x @ s for s in signs], 1)[:, :SIGN_BITS] > 0
-            words = np.packbits(bits, axis=1).view(np.int64)
-            new = []
-            for name in names.tolist():
-                new.append(name not in listed)
+            packed = np.packbits(bits, axis=1).view(np.int64)
+            old = np.zeros(len(x), bool)
+            for k, name in enumerate(names):
+                old[k] = name in listed
                 listed.add(name)
-            yield pd.DataFrame(
-                {
-                    "article_id": batch["article_id"].to_numpy()[at],
-                    "vid": names,
-                    "s0": words[:, 0],
-                    "s1": words[:, 1],
-                    "buckets": [k if ok else None for k, ok in zip(keys, new)],
-                }
+            name = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("article_id").take(pa.array(at)), *map(pa.array, (name[:, 0], name[:, 1], packed[:, 0], packed[:, 1])), _lists(keys, old), _lists(x, old)],
+                [c.split()[0] for c in HASHED.split(", ")],
             )
 
-    return vectors.select("article_id", "embedding").mapInPandas(rows, HASHED)
+    return vectors.select("article_id", "embedding").mapInArrow(rows, HASHED)
+
 
+def _lists(values: np.ndarray, null: np.ndarray) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(np.where(null, 0, values.shape[1]))))
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), mask=np.append(null, False)), pa.array(values[~null].ravel()))
 
-def near_vectors(hashed: DataFrame, units: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+
+def different_vectors(hashed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(vid, n1, n2, s0, s1, buckets, unit) once per different vector; numbers of 64 bits that cannot collide."""
+    only = (F.first(c, ignorenulls=True).alias(c) for c in ("s0", "s1", "buckets", "unit"))
+    return scratch.table(hashed.groupBy("n1", "n2").agg(*only).select(F.monotonically_increasing_id().alias("vid"), "*"))
+
+
+def near_vectors(different: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Pairs (x, y, cosine) of different vectors, x < y, at or above the threshold."""
-    listed = hashed.filter("buckets is not null").select("vid", "s0", "s1", F.explode("buckets").alias("bucket"))
-    listed = listed.repartition("bucket").groupBy("bucket", "vid").agg(F.first("s0").alias("s0"), F.first("s1").alias("s1"))
-    sizes = listed.groupBy("bucket").agg(F.count("*").alias("rows")).filter(F.col("rows") > BLOCK)
-    blocks = scratch.table(sizes.select("bucket", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")))
-    if blocks.isEmpty():
-        left, right, on = listed, listed, ["bucket"]
-    else:  # a hot bucket becomes a triangle of block pairs, each a task's work of bounded size
-        split = listed.join(blocks, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        split = split.withColumn("own", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
-        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        left = split.withColumn("i", F.col("own")).withColumn("j", every)
-        right = split.withColumn("j", F.col("own")).withColumn("i", every)
-        on = ["bucket", "i", "j"]
+    left, right, on = meeting(different.select("vid", "s0", "s1", F.explode("buckets").alias("bucket")), ["bucket"], "vid", scratch, BLOCK)
     a, b = left.alias("a"), right.alias("b")
-    join = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]
     met = (
-        a.join(b, join)
-        .filter((F.col("a.vid") < F.col("b.vid")) & (differing_bits("a", "b", ["s0", "s1"]) <= MOST_DIFFERENT))
+        a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on])
+        .filter((F.col("a.vid") < F.col("b.vid")) & (differing_bits("a", "b", ["s0", "s1"]) <= most_different(threshold)))
         .select(F.col("a.vid").alias("x"), F.col("b.vid").alias("y"))
         .distinct()
     )
     dot = F.aggregate(F.zip_with("u", "v", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
     return (
-        met.join(units.select(F.col("vid").alias("x"), F.col("unit").alias("u")), "x")
-        .join(units.select(F.col("vid").alias("y"), F.col("unit").alias("v")), "y")
+        met.join(different.select(F.col("vid").alias("x"), F.col("unit").alias("u")), "x")
+        .join(different.select(F.col("vid").alias("y"), F.col("unit").alias("v")), "y")
         .select("x", "y", dot.alias("cosine"))
         .filter(F.col("cosine") >= threshold)
     )
 
 
-def unit_vectors(vectors: DataFrame, hashed: DataFrame) -> DataFrame:
-    """(vid, unit) once per different vector."""
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, p: s + p.cast("double") * p.cast("double")))
-    ids = hashed.groupBy("vid").agg(F.min("article_id").alias("article_id"))
-    rows = vectors.filter("embedding is not null").select("article_id", "embedding", norm.alias("norm")).filter("norm > 0").dropDuplicates(["article_id"])
-    return rows.join(ids, "article_id").select("vid", F.transform("embedding", lambda p: (p / F.col("norm")).cast("float")).alias("unit"))
-
-
 def markov_flow(edges: DataFrame, scratch: Scratch, inflation: float = INFLATION) -> DataFrame:
     """(node, attractor, flow): the attractor each node's flow ends in, and the flow through the node.
 
@@ -217,8 +224,7 @@ def _still(current: DataFrame, scratch: Scratch, inflation: float = INFLATION) -
         current = following
         if done >= LEAST_ROUNDS and moved < STILL:
             return current
-    warnings.warn(f"Markov clustering still moves by {moved:.2g} of a column's largest entry after {ROUNDS} rounds", stacklevel=2)
-    return current
+    raise RuntimeError(f"the flow still moves by {moved:.2g} of a column's largest entry after {ROUNDS} rounds")
 
 
 def _links(final: DataFrame) -> DataFrame:
@@ -256,11 +262,13 @@ def similarity_clusters(vectors: DataFrame, threshold: float = THRESHOLD) -> tup
     shape = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     dim, n = shape[0] if shape else (1, 0)
     rows = rows.filter(F.size("embedding") == dim).groupBy("article_id").agg(F.min("embedding").alias("embedding"))
-    hashed = scratch.table(hashed_vectors(rows, dim, hash_values(n)))
-    units = unit_vectors(rows, hashed)
-    edges = scratch.table(near_vectors(hashed, units, threshold, scratch).select("x", "y"))
+    hashed = scratch.table(hashed_vectors(rows, dim, hash_values(n, dim), threshold))
+    different = different_vectors(hashed, scratch)
+    units = different.select("vid", "unit")
+    edges = scratch.table(near_vectors(different, threshold, scratch).select("x", "y"))
     flows = scratch.table(markov_flow(edges, scratch))
-    held = hashed.select("article_id", "vid").join(flows.withColumnRenamed("node", "vid"), "vid", "left")
+    named = hashed.select("article_id", "n1", "n2").join(different.select("n1", "n2", "vid"), ["n1", "n2"])
+    held = named.select("article_id", "vid").join(flows.withColumnRenamed("node", "vid"), "vid", "left")
     held = held.withColumn("attractor", F.coalesce("attractor", "vid")).withColumn("flow", F.coalesce("flow", F.lit(1.0)))
     named = held.groupBy("attractor").agg(F.min("article_id").alias("first_article_id"), F.count("*").alias("size")).filter("size > 1")
     members = scratch.table(held.join(named, "attractor").select("article_id", "first_article_id", "size", "vid", "flow"))

@@ -55,9 +55,9 @@ t as (select {_HOST.format(c='source')} as source, target_share, max_repeats, co
 
 _MIX = """sized as (select doc_id, {host} as source, coalesce(octet_length(encode(text)), 0) as size from documents),
 repeated as (select doc_id, source, size, target_share, unnest(generate_series(1, max_repeats)) as copy_no from sized join w using (source) where target_share > 0),
-copies as (select *, md5(concat_ws('|', doc_id, '0', copy_no)) as at from repeated),
-served as (select *, sum(size) over (partition by source order by copy_no, at, doc_id rows unbounded preceding) / target_share as finish from copies),
-cut as (select *, sum(size) over (order by finish, source, at, copy_no, doc_id rows unbounded preceding) as running from served),
+copies as (select *, md5(concat_ws('|', doc_id, '0', copy_no)) as h from repeated),
+served as (select *, sum(size) over (partition by source order by copy_no, h, doc_id rows unbounded preceding) / target_share as finish from copies),
+cut as (select *, sum(size) over (order by finish, source, h, copy_no, doc_id rows unbounded preceding) as running from served),
 u as (select source, sum(size) as used, count(*) as copies from cut where running <= {limit} group by source)
 select w.source, target_share, max_repeats, available, coalesce(used, 0) as used, coalesce(copies, 0) as copies,
   round(coalesce(used, 0)::double / (select sum(used) from u), 6) as actual_share, max_repeats * available >= target_share * (select sum(available) from w) as reachable from w left join u on u.source = w.source"""

@@ -11,6 +11,7 @@ from . import consensus, cooccur, groups, history_dedup, langid, markov, mixing,
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+CLOSE = 0.92
 
 
 def query(f: Query) -> Query:
@@ -99,6 +100,13 @@ def p5_clusters(spark, d):
     return _clusters(spark, d)[1]
 
 
+@query
+def p5_close(spark, d):
+    """Clusters of close retellings, at a cosine where the members of many clusters are not all joined: every row
+    comes out of the flow."""
+    return markov.similarity_clusters(read(spark, d, "article_vectors"), CLOSE)[0].select("article_id", "first_article_id")
+
+
 def _publishers(spark, d):
     return cooccur.items_together(read(spark, d, "articles_clustered"), cooccur.plain_host("publisher_domain"), F.col("event_cluster_id"))
 
