@@ -230,14 +230,22 @@ def test_items_together(spark):
     rng = random.Random(4)
     rows = [(f" WWW.p{rng.randrange(12)}.Example", f"e{rng.randrange(40)}") for _ in range(300)] + [("www.p1.example", None), (None, "e1"), (" ", "e1"), ("p1.example", "only")]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "publisher_domain string, event_cluster_id string, k int, item string")
-    found = {(r["item_a"], r["item_b"]): (r["k"], r["a"], r["b"], r["n"]) for r in cooccur.items_together(df, cooccur.plain_host("publisher_domain"), F.col("event_cluster_id")).collect()}
+    found = {(r["item_a"], r["item_b"]): (r["k"], r["a"], r["b"], r["n"]) for r in cooccur.items_together(df, cooccur.plain_host("publisher_domain"), F.col("event_cluster_id"))[0].collect()}
     held: dict = {}
     for p, e in rows:
         if p and p.strip() and e:
             held.setdefault(p.strip().lower().removeprefix("www."), set()).add(e)
     n = len({e for _, e in rows if e})
     assert found == {(a, b): (len(held[a] & held[b]), len(held[a]), len(held[b]), n) for a in held for b in held if a < b and held[a] & held[b]}
-    assert cooccur.items_together(df.limit(0), F.col("publisher_domain"), F.col("event_cluster_id")).isEmpty()
+    assert cooccur.items_together(df.limit(0), F.col("publisher_domain"), F.col("event_cluster_id"))[0].isEmpty()
+
+
+def test_a_hot_basket_is_split(spark, monkeypatch):
+    rows = [(f"p{k}", "hot") for k in range(40)] + [(f"p{k % 7}", f"e{k % 5}") for k in range(60)]
+    df = spark.createDataFrame(rows, "publisher string, event string")
+    whole = rows_of(cooccur.items_together(df, F.col("publisher"), F.col("event"))[0])
+    monkeypatch.setattr(cooccur, "BLOCK", 6)
+    assert rows_of(cooccur.items_together(df, F.col("publisher"), F.col("event"))[0]) == whole and len(whole) == 40 * 39 // 2
 
 
 def blobs(seed, sizes, dim=64, noise=0.05):

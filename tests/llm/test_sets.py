@@ -67,6 +67,23 @@ def test_bounds_never_exceed_a_packing():
     assert packing.lower_bound(np.array([51, 51, 26, 26]), 100) == 2
 
 
+def test_report_and_bounds(spark):
+    rng = random.Random(6)
+    sizes = [rng.randrange(1, 90) for _ in range(200)] + [250, 0]
+    out, _ = packing.pack_documents(documents(spark, sizes), packs(spark, 100))
+    report = packing.packing_report(out).head()
+    pieces = [p for s in sizes for p in ([100] * (s // 100) + [s % 100] if s >= 100 else [s])]
+    assert report["containers"] >= report["least_containers"] >= -(-sum(sizes) // 100)
+    assert report["least_containers"] <= packing.best_fit_decreasing(np.array(pieces), 100).max() + 1
+    assert report["gap"] == report["containers"] - report["least_containers"] and 0 <= report["certified_share"] <= 1
+
+
+def test_too_many_packs_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_PACKS", 1)
+    with pytest.raises(ValueError, match="packs"):
+        packing.pieces(documents(spark, [3]), packs(spark, 10, 20))
+
+
 def targets(spark, rows):
     return spark.createDataFrame(rows, "source string, target_share double, max_repeats int")
 
@@ -94,6 +111,29 @@ def test_capped_source_is_reported(spark):
     assert rows_of(again) == rows_of(mix)
 
 
+def test_budget_that_holds_the_shares(spark):
+    rng = random.Random(9)
+    df = documents(spark, [rng.randrange(50, 150) for _ in range(2000)], ["big"] * 9 + ["small"])
+    mix, shares, _ = mixing.mix_to_targets(df, targets(spark, [("big", 0.5, 1), ("small", 0.5, 2)]), hold_shares=True)
+    assert all(r["actual_share"] == pytest.approx(0.5, abs=0.01) for r in shares.collect())
+
+
+def test_nothing_within_the_budget_is_left_out_early(spark):
+    rng = random.Random(10)
+    df = documents(spark, [rng.randrange(1, 400) for _ in range(500)], ["a", "b", "b", "c", "c", "c"])
+    rows = [("a", 0.6, 3), ("b", 0.3, 1), ("c", 0.1, 2)]
+    for budget in (5_000, 60_000, 10**9):
+        mix, _, _ = mixing.mix_to_targets(df, targets(spark, rows), budget=budget)
+        served = mixing.served_copies(df, mixing.wanted_sources(targets(spark, rows))).collect()
+        order = sorted(served, key=lambda r: (r["served"] / r["target_share"], r["source"], r["at"], r["copy_no"], r["doc_id"]))
+        kept, running = set(), 0
+        for r in order:
+            running += r["size"]
+            if running <= budget:
+                kept.add((r["doc_id"], r["copy_no"]))
+        assert {(r["doc_id"], r["copy_no"]) for r in mix.collect()} == kept
+
+
 def test_mix_of_nothing(spark):
     mix, shares, _ = mixing.mix_to_targets(documents(spark, [1]).limit(0), targets(spark, [("a", 1.0, 1), (None, None, None)]))
     assert mix.isEmpty() and shares.count() == 1
@@ -127,7 +167,7 @@ def sheet(spark, n=300, seed=5):
 
 def test_consensus(spark):
     df, truth = sheet(spark)
-    items, people, _ = consensus.fit_consensus(df, ["item_type", "context"], rounds=12)
+    items, people, _ = consensus.fit_consensus(df, ["item_type", "context"])
     found = {r["reference"]: r for r in items.collect()}
     assert set(found) == set(truth)
     assert sum(found[r]["consensus_label"] == t for r, t in truth.items()) >= 0.97 * len(truth)
@@ -136,6 +176,21 @@ def test_consensus(spark):
     assert all(0 < r["confidence"] <= 1 and 0 <= r["agreement"] <= 1 for r in found.values())
 
 
+def test_a_fit_that_has_not_settled_is_an_error(spark, monkeypatch):
+    df, _ = sheet(spark, 20)
+    with pytest.raises(RuntimeError, match="still moves"):
+        consensus.fit_consensus(df, ["context"], rounds=1)
+    monkeypatch.setattr(consensus, "MOST_NUMBERS", 10)
+    with pytest.raises(ValueError, match="numbers"):
+        consensus.fit_consensus(df, ["context"])
+
+
+def test_inverse_by_elimination():
+    x = np.random.default_rng(1).normal(size=(40, 12))
+    m = x.T @ x + np.eye(12)
+    assert np.allclose(consensus._inverse(m) @ m, np.eye(12))
+
+
 def test_one_vote_per_review_and_ai(spark):
     row = (1, "T", "r", "c", "A", "A / B", "b", "x", None, None, "p")
     votes = consensus.valid_votes(spark.createDataFrame([row, row, (2, *row[1:6], "?", "y", "B", "z", "p")], SHEET))

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-FEATURES = 256  # hashed item features
-ROUNDS = 30
+FEATURES = 512  # places of hashed words
+#: The fit ends when no probability and no weight moves by TOLERANCE; not having ended after ROUNDS is an error.
+ROUNDS = 200
 TOLERANCE = 1e-4
 #: An annotator's confusion matrix is drawn towards their one overall accuracy by so many labels,
 #: and that accuracy towards chance by so many.
@@ -28,8 +29,9 @@ MATRIX_PRIOR = 20.0
 ACCURACY_PRIOR = 2.0
 #: L2 penalty of the classifier, in items.
 RIDGE = 20.0
-#: Annotators' parameters go to every task; more annotators than this are an error, not a cut.
-MOST_ANNOTATORS = 100_000
+#: The model goes to every task: more annotators or lists of allowed labels than these, or more numbers in all,
+#: are an error, not a cut.
+MOST_ANNOTATORS, MOST_LISTS, MOST_NUMBERS = 100_000, 1_000, 20_000_000
 AI = "(ai)"
 
 
@@ -71,9 +73,9 @@ def valid_votes(sheet: DataFrame) -> DataFrame:
 
 
 def item_features(sheet: DataFrame, columns: list[str]) -> DataFrame:
-    """(reference, features): hashed ``column=value`` pairs of an item, at most FEATURES of them."""
-    pairs = F.array(*(F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in columns))
-    each = sheet.filter("reference is not null").select("reference", F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("f"))
+    """(reference, features): hashed words of an item's cells, each with its column, in FEATURES places."""
+    words = F.concat(*(F.transform(F.split(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w, c=c: F.concat(F.lit(f"{c}="), w)) for c in columns))
+    each = sheet.filter("reference is not null").select("reference", F.explode(words).alias("f")).filter("not endswith(f, '=')")
     place = F.pmod(F.xxhash64("f"), F.lit(FEATURES - 1)).cast("int") + 1  # place 0 is the intercept
     return each.select("reference", place.alias("f")).groupBy("reference").agg(F.collect_set("f").alias("features"))
 
@@ -156,29 +158,74 @@ def _coded(annotators: dict[str, int], lists: list[tuple[str, ...]]):
 SUMS = "kind string, place int, a int, b int, c int, value double"
 
 
+def _entries(kind: str, place: int, array: np.ndarray) -> pd.DataFrame:
+    where = np.nonzero(array)
+    index = [*where, *[np.zeros(len(where[0]), np.int64)] * (3 - len(where))]
+    return pd.DataFrame({"kind": kind, "place": place, "a": index[0], "b": index[1], "c": index[2], "value": array[where]})
+
+
 def _partial_sums(model: Model):
+    """Expected counts and gradients of a task's items."""
+
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = [np.zeros_like(c).transpose(0, 2, 1).copy() for c in model.confusion]  # [annotator, given, true]
         grads = [np.zeros_like(w) for w in model.weights]
-        seen = [np.zeros(len(w)) for w in model.weights]
         for batch in batches:
             for s in model.posteriors(batch):
                 apart = s.post - s.prior
-                active = np.bincount(s.feature_of, minlength=len(s.rows)) + 1.0
                 grads[s.place][0] += apart.sum(0)
-                seen[s.place][0] += active.sum()
                 np.add.at(grads[s.place], s.feature, apart[s.feature_of])
-                np.add.at(seen[s.place], s.feature, active[s.feature_of])
                 np.add.at(counts[s.place], (s.annotator, s.given), s.n[:, None] * s.post[s.vote_of])
         for k in range(len(counts)):
-            for kind, array in (("confusion", counts[k].transpose(0, 2, 1)), ("gradient", grads[k]), ("seen", seen[k])):
-                where = np.nonzero(array)
-                index = [*where, *[np.zeros(len(where[0]), np.int64)] * (3 - len(where))]
-                yield pd.DataFrame({"kind": kind, "place": k, "a": index[0], "b": index[1], "c": index[2], "value": array[where]})
+            yield _entries("confusion", k, counts[k].transpose(0, 2, 1))
+            yield _entries("gradient", k, grads[k])
+
+    return sums
+
+
+def _together(lists: int):
+    """How often two features meet in an item, of a task's items, per class list."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met = [np.zeros((FEATURES, FEATURES)) for _ in range(lists)]
+        for batch in batches:
+            for place, features in zip(batch["place"], batch["features"]):
+                f = np.concatenate(([0], features if features is not None else [])).astype(np.int64)
+                met[place][np.ix_(f, f)] += 1
+        for k in range(lists):
+            yield _entries("together", k, met[k])
 
     return sums
 
 
+def _summed(coded: DataFrame, sums) -> pd.DataFrame:
+    """The sums over all tasks; their number depends on annotators, classes and features, never on items."""
+    return coded.mapInPandas(sums, SUMS).groupBy("kind", "place", "a", "b", "c").agg(F.sum("value").alias("value")).toPandas()
+
+
+def _filled(sums: pd.DataFrame, kind: str, like: list[np.ndarray]) -> list[np.ndarray]:
+    out = [np.zeros_like(x) for x in like]
+    for k, x in enumerate(out):
+        part = sums[(sums["kind"] == kind) & (sums["place"] == k)]
+        x[tuple(part[c] for c in "abc"[: x.ndim])] = part["value"]
+    return out
+
+
+def _inverse(m: np.ndarray) -> np.ndarray:
+    """Inverse of a positive definite matrix, by elimination: a driver's threaded solver may compete with its tasks for cores."""
+    a, out = m.copy(), np.eye(len(m))
+    for k in range(len(m)):
+        pivot = a[k, k]
+        a[k] /= pivot
+        out[k] /= pivot
+        column = a[:, k].copy()
+        column[k] = 0
+        rows = np.flatnonzero(column)
+        a[rows] -= column[rows, None] * a[k]
+        out[rows] -= column[rows, None] * out[k]
+    return out
+
+
 def _confusions(counts: list[np.ndarray]) -> list[np.ndarray]:
     """Smoothed log confusion matrices from expected counts of all class lists."""
     right = sum(np.einsum("akk->a", c) for c in counts)
@@ -215,7 +262,9 @@ def fit_consensus(sheet: DataFrame, feature_columns: list[str], rounds: int = RO
     names = [r[0] for r in votes.select("annotator").distinct().orderBy("annotator").limit(MOST_ANNOTATORS + 1).collect()]
     if len(names) > MOST_ANNOTATORS:
         raise ValueError(f"more than {MOST_ANNOTATORS} annotators")
-    lists = [tuple(r[0]) for r in items.select("classes").distinct().orderBy("classes").collect()]
+    lists = [tuple(r[0]) for r in items.select("classes").distinct().orderBy("classes").limit(MOST_LISTS + 1).collect()]
+    if len(lists) > MOST_LISTS or sum(len(names) * len(c) ** 2 for c in lists) + len(lists) * FEATURES**2 > MOST_NUMBERS:
+        raise ValueError(f"{len(names)} annotators and {len(lists)} lists of labels make a model of more than {MOST_NUMBERS} numbers")
     model = Model({a: k for k, a in enumerate(names)}, {c: k for k, c in enumerate(lists)})
     coded = scratch.table(items.mapInPandas(_coded(model.annotators, lists), CODED))
     model.weights = [np.zeros((FEATURES, len(c))) for c in lists]
@@ -223,28 +272,23 @@ def fit_consensus(sheet: DataFrame, feature_columns: list[str], rounds: int = RO
     start = [np.where(np.eye(len(c), dtype=bool), 0.7, 0.3 / max(1, len(c) - 1))[None].repeat(len(names), 0) for c in lists]
     model.confusion = [np.log(s / s.sum(2, keepdims=True)) for s in start]
     counts = start
-    for _ in range(rounds if lists else 0):
-        sums = coded.mapInPandas(_partial_sums(model), SUMS).groupBy("kind", "place", "a", "b", "c").agg(F.sum("value").alias("value")).toPandas()
-        counts = [np.zeros_like(c) for c in model.confusion]
-        grads, seen = [np.zeros_like(w) for w in model.weights], [np.zeros(FEATURES) for _ in lists]
-        for kind, into in (("confusion", counts), ("gradient", grads), ("seen", seen)):
-            part = sums[sums["kind"] == kind]
-            for k in range(len(lists)):
-                s = part[part["place"] == k]
-                if kind == "confusion":
-                    into[k][s["a"], s["b"], s["c"]] = s["value"]
-                elif kind == "gradient":
-                    into[k][s["a"], s["b"]] = s["value"]
-                else:
-                    into[k][s["a"]] = s["value"]
-        confusion = _confusions(counts)
-        # one bounded Newton step: the curvature of a softmax is at most half of what a feature meets
-        weights = [w + (g - RIDGE * w) / (0.5 * s[:, None] + RIDGE) for w, g, s in zip(model.weights, grads, seen)]
-        change = max(np.abs(np.exp(a) - np.exp(b)).max() for a, b in zip(confusion, model.confusion))
-        change = max(change, *(np.abs(a - b).max() for a, b in zip(weights, model.weights)))
-        model = Model(model.annotators, model.classes, confusion, weights)
-        if change < TOLERANCE:
-            break
+    if lists:
+        # the curvature of a softmax is at most half of how features meet, so these steps always go uphill
+        together = _filled(_summed(coded, _together(len(lists))), "together", [np.zeros((FEATURES, FEATURES)) for _ in lists])
+        bound = [_inverse(0.5 * t + RIDGE * np.eye(FEATURES)) for t in together]
+        for _ in range(rounds):
+            sums = _summed(coded, _partial_sums(model))
+            counts, grads = _filled(sums, "confusion", model.confusion), _filled(sums, "gradient", model.weights)
+            confusion = _confusions(counts)
+            weights = [w + np.einsum("ij,jk->ik", h, g - RIDGE * w) for w, g, h in zip(model.weights, grads, bound)]
+            change = max(np.abs(np.exp(a) - np.exp(b)).max() for a, b in zip(confusion, model.confusion))
+            change = max(change, *(np.abs(a - b).max() for a, b in zip(weights, model.weights)))
+            model = Model(model.annotators, model.classes, confusion, weights)
+            if change < TOLERANCE:
+                break
+        else:
+            raise RuntimeError(f"the fit still moves by {change:.2g} after {rounds} rounds")
+        counts = _filled(_summed(coded, _partial_sums(model)), "confusion", model.confusion)
     final = model
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

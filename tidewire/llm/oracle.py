@@ -87,6 +87,13 @@ ORACLE: dict[str, str] = {
     "p5_found": f"with recursive {_CLUSTERS} select id as article_id, g as first_article_id from grouped",
     "p6_found": f"with {_MET} select publisher_a, publisher_b from met where k >= 2 and 1000 * k >= n and k * n >= 4 * a * b",
     "p6_pairs": f"with {_MET} select publisher_a, publisher_b, k, a, b, n, round(k * n / (a * b), 6) as lift, round(log2(k * n / (a * b)), 6) as pmi from met",
+    "p8_bounds": f"""with x as (select pack_name, capacity_tokens::bigint as c, doc_id, octet_length(encode(text))::bigint as total from documents, pack_sizes where text is not null),
+      p as (select pack_name, c, doc_id, least(c, total - c * k) as x from (select *, unnest(generate_series(0, greatest((total + c - 1) // c, 1) - 1)) as k from x)),
+      f as (select pack_name, j, any_value(c) as c, sum(case when x > c - c * j // 64 and x >= c * j // 64 then c when x >= c * j // 64 then x else 0 end) as v from p, range(1, 33) r(j) group by all
+        union all select pack_name, 0, any_value(c) * k, sum(case when (k + 1) * x % c = 0 then k * x else ((k + 1) * x) // c * c end) from p, range(1, 21) r(k) group by pack_name, k),
+      b as (select pack_name, max(ceil(v / c)) as b from f group by pack_name)
+      select pack_name, count(distinct doc_id) as documents, sum(x) as size, ceil(sum(x) / any_value(c))::bigint as least_by_size, greatest(ceil(sum(x) / any_value(c)), any_value(b))::bigint as least_containers
+      from p join b using (pack_name) group by pack_name""",
     "p8_found": "select pack_name, doc_id from documents, pack_sizes where octet_length(encode(text)) > capacity_tokens",
     "p9_shares": f"with {_SIZES}, w as (select * from t), {_MIX.replace('{limit}', '(select sum(available) from w)')}",
     "p9_held_shares": f"""with {_SIZES}, w as (select * from t where available > 0),

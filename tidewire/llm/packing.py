@@ -3,7 +3,9 @@
 Documents are spread over partitions of bounded size and each is packed by best-fit decreasing.
 Dual feasible functions give a lower bound on the containers a partition needs; where the packing
 meets it, the partition is certified and done.  Partitions with a gap give the documents of
-their emptier containers to an exchange, which regroups them and packs again; a round is kept where it saves containers.
+their emptier containers to an exchange, which regroups them and packs again, until a round saves less than
+LEAST_SAVED of the containers it packs again.  The functions are sums over texts, so the same bound is also given for
+all texts at once.
 
 A text longer than the capacity is cut into full pieces, which fill containers of their own, and a
 rest, which is packed like any other text.  No other text is divided.
@@ -22,7 +24,8 @@ from .mixing import token_size
 from .scratch import Scratch
 
 PARTITION_ROWS = 20_000  # documents that one task packs at a time
-ROUNDS = 2
+LEAST_SAVED = 0.001
+MOST_PACKS = 1_000  # capacities; more are an error
 #: Containers filled to this share stay closed in an exchange.
 WELL_FILLED = 0.995
 
@@ -91,7 +94,13 @@ def pieces(documents: DataFrame, packs: DataFrame) -> DataFrame:
     """
     sized = documents.filter("text is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(token_size("text")).alias("total"))
     named = packs.filter("capacity_tokens > 0 and pack_name is not null").groupBy("pack_name").agg(F.min("capacity_tokens").cast("long").alias("capacity"))
-    each = sized.crossJoin(named)  # the packs are a stated list of capacities, each over all texts
+    listed = named.orderBy("pack_name").limit(MOST_PACKS + 1).collect()
+    if len(listed) > MOST_PACKS:
+        raise ValueError(f"more than {MOST_PACKS} packs")
+    if not listed:
+        return sized.limit(0).select(F.lit("").alias("pack_name"), "total").selectExpr("pack_name", "0L capacity", "0L doc_id", "total", "0 piece_no", "0L start", "0L size")
+    one = lambda r: F.struct(F.lit(r["pack_name"]).alias("pack_name"), F.lit(r["capacity"]).cast("long").alias("capacity"))
+    each = sized.withColumn("p", F.explode(F.array(*map(one, listed)))).select("p.*", "doc_id", "total")
     last = F.greatest(F.ceil(F.col("total") / F.col("capacity")), F.lit(1)).cast("int") - 1
     return (
         each.withColumn("piece_no", F.explode(F.sequence(F.lit(0), last)))
@@ -102,8 +111,8 @@ def pieces(documents: DataFrame, packs: DataFrame) -> DataFrame:
 
 def pack_documents(documents: DataFrame, packs: DataFrame) -> tuple[DataFrame, Scratch]:
     """Every text in containers of every capacity: ``pack_name``, ``doc_id``, ``piece_no``, ``start``,
-    ``size``, ``capacity``, ``container`` (unique within a pack) and ``certified``: whether the
-    containers of its partition are proven fewest.
+    ``size``, ``capacity``, ``container`` (unique within a pack), ``certified``: whether the containers of its partition
+    are proven fewest, and ``gap``: by how many they may be too many.
     """
     scratch = Scratch(documents.sparkSession, "pack")
     items = scratch.table(pieces(documents, packs).select("pack_name", "doc_id", "piece_no", "start", "size", "capacity", "total"))
@@ -113,7 +122,9 @@ def pack_documents(documents: DataFrame, packs: DataFrame) -> tuple[DataFrame, S
     parts = F.greatest(F.ceil(F.col("n") / PARTITION_ROWS), F.lit(1))
     placed = loose.join(F.broadcast(rows), "pack_name").withColumn("part", F.pmod(F.xxhash64("doc_id"), parts))  # a row per pack
     packed = scratch.table(placed.select("pack_name", "doc_id", "piece_no", "size", "capacity", "part").groupBy("pack_name", "part").applyInPandas(_pack, PACKED))
-    for r in range(1, ROUNDS + 1):
+    r, saved = 0, True
+    while saved:
+        r += 1
         open_bins = (
             packed.filter("gap > 0")
             .groupBy("pack_name", "part", "bin")
@@ -129,23 +140,45 @@ def pack_documents(documents: DataFrame, packs: DataFrame) -> tuple[DataFrame, S
         again = moved.join(F.broadcast(total.select("pack_name", "n")), "pack_name").withColumn("part", lot)
         again = scratch.table(again.select("pack_name", "doc_id", "piece_no", "size", "capacity", "part").groupBy("pack_name", "part").applyInPandas(_pack, PACKED))
         after = again.groupBy("pack_name", "part").agg(F.count_distinct("bin").alias("b")).groupBy("pack_name").agg(F.sum("b").alias("after"))
-        better = total.join(after, "pack_name").filter("after < bins").select("pack_name")
-        better = scratch.table(better)
-        if better.isEmpty():
-            break
+        better = scratch.table(total.join(after, "pack_name").filter("after < bins").select("pack_name", (F.col("after") <= F.col("bins") * (1 - LEAST_SAVED)).alias("much")))
+        saved = not better.filter("much").isEmpty()
+        better = better.select("pack_name")
         stay = packed.join(open_bins.select("pack_name", "part", "bin").join(better, "pack_name"), ["pack_name", "part", "bin"], "left_anti")
         packed = scratch.table(stay.unionByName(again.join(better, "pack_name", "left_semi")))
-    filled = packed.select("pack_name", "doc_id", "piece_no", F.concat_ws("-", F.lit("p"), "part", "bin").alias("container"), (F.col("gap") <= 0).alias("certified"))
+    filled = packed.select("pack_name", "doc_id", "piece_no", F.concat_ws("-", F.lit("p"), "part", "bin").alias("container"), "gap", (F.col("gap") <= 0).alias("certified"))
     rest = loose.join(filled, ["pack_name", "doc_id", "piece_no"])
-    full = cut.withColumn("container", F.concat_ws("-", F.lit("f"), "doc_id", "piece_no")).withColumn("certified", F.lit(True))
-    columns = ["pack_name", "doc_id", "piece_no", "start", "size", "capacity", "total", "container", "certified"]
+    full = cut.withColumn("container", F.concat_ws("-", F.lit("f"), "doc_id", "piece_no")).withColumn("certified", F.lit(True)).withColumn("gap", F.lit(0))
+    columns = ["pack_name", "doc_id", "piece_no", "start", "size", "capacity", "total", "container", "certified", "gap"]
     return full.select(columns).unionByName(rest.select(columns)), scratch
 
 
+def container_bounds(items: DataFrame) -> DataFrame:
+    """(pack_name, documents, size, least_by_size, least_containers): fewest containers that any packing of all texts of
+    a pack needs, by size alone and by dual feasible functions: those that round items above ``capacity - e`` up and drop those below ``e``,
+    for 32 values of ``e`` up to half the capacity, and the rounding functions u(k) for k = 1..20.
+
+    ``items``: pack_name, doc_id, size, capacity.
+    """
+    x, c = F.col("size"), F.col("capacity")
+    values = []
+    for j in range(1, 33):
+        e = F.floor(c * j / 64)
+        values.append((F.when((x > c - e) & (x >= e), c).when(x >= e, x).otherwise(0), c))
+    for k in range(1, 21):
+        values.append((F.when((k + 1) * x % c == 0, k * x).otherwise(F.floor((k + 1) * x / c) * c), k * c))
+    bounds = F.greatest(F.ceil(F.sum(x) / F.max(c)), *(F.ceil(F.sum(v) / F.max(unit)) for v, unit in values))
+    return items.groupBy("pack_name").agg(
+        F.count_distinct("doc_id").alias("documents"), F.sum(x).alias("size"), F.ceil(F.sum(x) / F.max(c)).alias("least_by_size"), bounds.alias("least_containers")
+    )
+
+
 def packing_report(packed: DataFrame) -> DataFrame:
-    """Per pack: containers, size, unused share and the volume bound."""
-    per = packed.groupBy("pack_name").agg(
-        F.count_distinct("container").alias("containers"), F.sum("size").alias("size"), F.max("capacity").alias("capacity"), F.count_distinct("doc_id").alias("documents")
+    """Per pack: containers, their certified bound over all texts, the share of containers that are proven fewest within their
+    partition, and the unused share."""
+    boxes = packed.groupBy("pack_name", "container").agg(F.sum("size").alias("size"), F.max("capacity").alias("capacity"), F.bool_and("certified").alias("certified"))
+    per = boxes.groupBy("pack_name").agg(
+        F.count("*").alias("containers"), F.round(F.avg(F.col("certified").cast("double")), 6).alias("certified_share"), F.round(1 - F.sum("size") / F.sum("capacity"), 6).alias("unused_share")
+    )
+    return per.join(container_bounds(packed), "pack_name").select(
+        "pack_name", "documents", "containers", "least_containers", (F.col("containers") - F.col("least_containers")).alias("gap"), "certified_share", "unused_share"
     )
-    bound = F.ceil(F.col("size") / F.col("capacity"))
-    return per.select("pack_name", "documents", "containers", bound.alias("least_containers"), F.round(1 - F.col("size") / (F.col("containers") * F.col("capacity")), 6).alias("unused_share"))

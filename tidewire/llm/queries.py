@@ -108,7 +108,7 @@ def p5_close(spark, d):
 
 
 def _publishers(spark, d):
-    return cooccur.items_together(read(spark, d, "articles_clustered"), cooccur.plain_host("publisher_domain"), F.col("event_cluster_id"))
+    return cooccur.items_together(read(spark, d, "articles_clustered"), cooccur.plain_host("publisher_domain"), F.col("event_cluster_id"))[0]
 
 
 @query
@@ -161,6 +161,12 @@ def p8_report(spark, d):
     return packing.packing_report(_packed(spark, d))
 
 
+@query
+def p8_bounds(spark, d):
+    """Fewest containers that any packing needs."""
+    return packing.container_bounds(packing.pieces(read(spark, d, "documents"), read(spark, d, "pack_sizes")))
+
+
 def _mix(spark, d):
     return mixing.mix_to_targets(read(spark, d, "documents"), read(spark, d, "mix_targets"))
 
