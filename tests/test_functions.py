@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewire.functions import hashing, text, times, urls
-from tidewire.functions.relevance import deciding_rule, domestic_relevance, international_relevance
+from tidewire.functions.relevance import deciding_rule, domestic_relevance, international_relevance, searched_text
 from tidewire.functions.vectors import cosine_distance, unit
 
 
@@ -160,7 +160,7 @@ def test_record_names(spark):
     ],
 )
 def test_domestic_relevance(spark, title, description, url, rule, relevant):
-    decided = deciding_rule(F.col("t"), F.col("d"), F.col("u"))
+    decided = deciding_rule(F.col("t"), searched_text(F.col("t"), F.col("d")), F.col("u"))
     assert one(spark, decided, t=title, d=description, u=url) == rule
     assert one(spark, domestic_relevance(decided), t=title, d=description, u=url) is relevant
 

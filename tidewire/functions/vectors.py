@@ -12,8 +12,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """``v`` divided by its length; the zero vector stays."""
-    length = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x.cast("double") / F.when(length == 0, 1.0).otherwise(length))
+    # in an array of one, so that it is not computed again for every element
+    lengths = F.array(F.sqrt(dot(v, v)))
+    return F.element_at(F.transform(lengths, lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))), 1)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..functions.hashing import exact_reference
-from ..functions.relevance import deciding_rule, domestic_relevance, international_relevance
+from ..functions.relevance import domestic_relevance, international_relevance, with_deciding_rule
 from ..functions.times import in_window, instant, iso_text, publisher_time
 from ..schemas import AUDIT_COLUMNS, COLLECTION_MODES, ENTRY, SOURCE_SYSTEMS
 from .history import keep_first
+from .stage import Stage
 
 # Publishers by host: id, group, country.
 DOMESTIC_PUBLISHERS = {
@@ -73,7 +74,8 @@ def clean_domestic(candidates: DataFrame, dimension: DataFrame | None = None) ->
     rows = rows.withColumn("_title", T.clean_html(e("title"))).withColumn("_description", T.clean_html(T.first_filled(e("summary"), e("description"))))
     rows = rows.withColumn("_category", T.clean_html(e("category"))).withColumn("_domain", U.host_of(F.col("_canonical")))
     time, confidence = publisher_time(T.first_filled(e("published"), e("pubDate"), e("updated")))
-    rows = rows.withColumn("_time", time).withColumn("_confidence", confidence).withColumn("_rule", deciding_rule(F.col("_title"), F.col("_description"), F.col("_canonical")))
+    rows = rows.withColumn("_time", time).withColumn("_confidence", confidence)
+    rows = with_deciding_rule(rows, "_title", "_description", "_canonical", "_rule")
     none = F.lit(None).cast("string")
     rows = with_publisher(rows, dimension, "_domain", {"publisher_id": F.nullif(F.trim("publisher_id_hint"), F.lit("")), "publisher_group_id": none, "publisher_country": F.lit("VN")})
     seen = instant(F.col("first_seen_at"))
@@ -136,4 +138,6 @@ def snapshot(candidates: DataFrame, branch: str, since: str | None = None, until
     """(relevant, audit) of one branch over all collectors within a window of first sightings."""
     inside = candidates if since is None and until is None else candidates.filter(in_window(F.col("first_seen_at"), since, until))
     audit = {"domestic": clean_domestic, "international": clean_international}[branch](inside)
+    # written: it is a result of its own, and a filter on a column that a cascade of searches makes would repeat them
+    audit = Stage(candidates.sparkSession, "audit").write(audit)
     return relevant(audit), audit

@@ -1,15 +1,15 @@
 """Events: units of duplicate families, time-gated agglomerative clustering, propagation, summaries.
 
 Two units can only end in one cluster through pairs closer than the threshold and inside the time
-window, so clusters never cross the components of that pair graph.  Pairs come from a band join on time
-buckets; each component is clustered on its own, which gives exactly the clusters of the whole.
+window, so clusters never cross the components of that pair graph.  Pairs come from matrix products of blocks of
+neighbouring time buckets; each component is clustered on its own, which gives exactly the clusters of the whole.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +21,9 @@ from .stage import Stage
 
 GATED = 2.0
 LINKAGES = ("average", "complete")
+#: Units whose vectors are multiplied at a time, and units of one component beyond which clustering it is an error:
+#: its distances are held by one task (800 MB).
+BLOCK, MOST_UNITS = 2_000, 10_000
 #: The grid of the sweep and its row of the setting used before.
 THRESHOLDS, WINDOWS = (0.20, 0.25, 0.30, 0.35), (3.0, 5.0, 10.0)
 BASELINE = (0.35, 10.0, "average")
@@ -50,39 +53,91 @@ def units(articles: DataFrame, vectors: DataFrame) -> DataFrame:
     return alone.unionByName(several.join(mean, "unit").select("unit", "day", "n", unit(F.col("v")).alias("vector")))
 
 
+def block_pairs(found: DataFrame, window_days: float) -> DataFrame:
+    """``found`` once for every pair of blocks that it is in: ``k``, ``p``, ``ahead``, ``q`` (block p of time bucket k meets
+    block q of the bucket ``ahead`` of it) and ``side`` (0: of the first block).
+
+    A bucket is divided into blocks of at most about BLOCK units, so its size does not bound a task.
+    """
+    keyed = found.filter("day is not null").withColumn("k", F.floor(F.col("day") / window_days))
+    sizes = keyed.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))  # a row per stretch of the window
+    around = sizes.join(sizes.select((F.col("k") - 1).alias("k"), F.col("m").alias("after")), "k", "left").join(sizes.select((F.col("k") + 1).alias("k"), F.col("m").alias("before")), "k", "left")
+    placed = keyed.join(around, "k").withColumn("own", F.pmod(F.xxhash64("unit"), F.col("m")).cast("int"))
+
+    def met(blocks: Column, k: Column, first: bool, ahead: int) -> Column:
+        p, q = (lambda x: F.col("own")), (lambda x: x)
+        p, q = (p, q) if first else (q, p)
+        return F.transform(blocks, lambda x: F.struct(k.alias("k"), p(x).cast("int").alias("p"), F.lit(ahead).alias("ahead"), q(x).cast("int").alias("q"), F.lit(0 if first else 1).alias("side")))
+
+    to = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    places = F.concat(
+        met(F.sequence(F.col("own"), F.col("m") - 1), F.col("k"), True, 0),
+        met(to(F.col("own")), F.col("k"), False, 0),
+        met(to(F.col("after")), F.col("k"), True, 1),
+        met(to(F.col("before")), F.col("k") - 1, False, 1),
+    )
+    return placed.select(F.explode(places).alias("at"), "unit", "day", "vector").select("at.*", "unit", "day", "vector")
+
+
 def near_units(found: DataFrame, threshold: float, window_days: float) -> DataFrame:
-    """Pairs (a < b) of units closer than ``threshold`` whose days are at most ``window_days`` apart.
+    """Pairs (a < b, distance, gap) of units closer than ``threshold`` whose days are at most ``window_days`` apart.
 
-    Units of unknown time are near nothing.  A unit meets those of its own and the next time bucket.
+    Units of unknown time are near nothing.
     """
-    keyed = found.filter("day is not null").withColumn("bucket", F.floor(F.col("day") / window_days))
-    ahead = keyed.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
-    a, b = ahead.alias("a"), keyed.alias("b")
-    distance = cosine_distance(F.col("a.vector"), F.col("b.vector"))
-    same = F.floor(F.col("a.day") / window_days) == F.col("b.bucket")
-    once = ~same | (F.col("a.unit") < F.col("b.unit"))
-    met = a.join(b, F.col("a.bucket") == F.col("b.bucket")).filter(once & (F.abs(F.col("a.day") - F.col("b.day")) <= window_days) & (distance < threshold))
-    return met.select(F.least("a.unit", "b.unit").alias("a"), F.greatest("a.unit", "b.unit").alias("b"), distance.alias("distance"))
+
+    def near(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        names, day = np.array(table.column("unit").to_pylist(), object), table.column("day").to_numpy()
+        vectors = table.column("vector").combine_chunks()
+        x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(names), -1)
+        left = np.flatnonzero(side == 0)
+        alone = table.column("ahead")[0].as_py() == 0 and table.column("p")[0].as_py() == table.column("q")[0].as_py()
+        right = left if alone else np.flatnonzero(side == 1)
+        distance = np.clip(1.0 - x[left] @ x[right].T, 0.0, 2.0)
+        gap = np.abs(day[left][:, None] - day[right][None, :])
+        i, j = np.nonzero((distance < threshold) & (gap <= window_days))
+        if alone:
+            i, j = i[i < j], j[i < j]
+        u, v = names[left[i]], names[right[j]]
+        swap = u > v
+        columns = [np.where(swap, v, u), np.where(swap, u, v), distance[i, j], gap[i, j]]
+        return pa.table([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), *map(pa.array, columns[2:])], ["a", "b", "distance", "gap"])
+
+    return block_pairs(found, window_days).groupBy("k", "p", "ahead", "q").applyInArrow(near, "a string, b string, distance double, gap double")
 
 
 def agglomerate(vectors: np.ndarray, times: np.ndarray, threshold: float, window_days: float, linkage: str) -> np.ndarray:
-    """Labels of one component: the closest two clusters merge while their distance is below the threshold."""
+    """Labels of one component: the closest two clusters merge while their distance is below the threshold.
+
+    Each row's nearest is kept, so a merge costs a row and the rows whose nearest it was.
+    """
+    if len(vectors) > MOST_UNITS:
+        raise ValueError(f"{len(vectors)} units hang together, more than {MOST_UNITS}: use a smaller threshold or window")
     x = np.asarray(vectors, np.float64)
     distance = np.clip(1.0 - x @ x.T, 0.0, 2.0)
     distance[~(np.abs(times[:, None] - times[None, :]) <= window_days)] = GATED
     np.fill_diagonal(distance, np.inf)
     label, size = np.arange(len(x)), np.ones(len(x))
+    nearest = distance.argmin(1)
+    least = distance[np.arange(len(x)), nearest]
     while len(x) > 1:
-        at = int(np.argmin(distance))
-        i, j = sorted(divmod(at, len(x)))
-        if not distance[i, j] < threshold:
+        i = int(least.argmin())
+        if not least[i] < threshold:
             break
+        i, j = sorted((i, int(nearest[i])))
         joined = np.maximum(distance[i], distance[j]) if linkage == "complete" else (size[i] * distance[i] + size[j] * distance[j]) / (size[i] + size[j])
         distance[i], distance[:, i] = joined, joined
         distance[i, i] = np.inf
         distance[j], distance[:, j] = np.inf, np.inf
         label[label == j] = i
         size[i] += size[j]
+        # a joined distance is never below both of its parts, so no other row gets a nearer one; an equal one counts if it stands first
+        tied = (distance[:, i] == least) & (i < nearest)
+        nearest[tied] = i
+        stale = np.flatnonzero((nearest == i) & ~tied | (nearest == j))
+        stale = np.union1d(stale, [i, j])
+        nearest[stale] = distance[stale].argmin(1)
+        least[stale] = distance[stale, nearest[stale]]
     return label
 
 
@@ -90,8 +145,9 @@ def cluster(found: DataFrame, threshold: float = 0.30, window_days: float = 5.0,
     """(unit, cluster): the cluster is named by its smallest unit; every unit is in one."""
     if linkage not in LINKAGES:
         raise ValueError(f"linkage must be one of {LINKAGES}, got {linkage!r}")
-    pairs = Stage(found.sparkSession, "events").write(near_units(found, threshold, window_days).select("a", "b"))
-    parts = components(pairs)
+    stage = Stage(found.sparkSession, "events")
+    found = stage.write(found)
+    parts = components(near_units(found, threshold, window_days).select("a", "b"))
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("unit", ignore_index=True)
@@ -176,7 +232,7 @@ def sweep(articles: DataFrame, vectors: DataFrame, thresholds: tuple[float, ...]
     found = stage.write(units(articles, vectors))
     gates = spark.createDataFrame([(k, t, w) for k, (t, w) in enumerate((t, w) for t in thresholds for w in windows)], "gate int, distance_threshold double, window_days double")
     settings = F.broadcast(gates.crossJoin(spark.createDataFrame([(x,) for x in linkages], "linkage string")))  # the grid is a parameter
-    pairs = stage.write(_with_gaps(found, near_units(found, max(thresholds), max(windows))))
+    pairs = stage.write(near_units(found, max(thresholds), max(windows)))
     held = pairs.crossJoin(F.broadcast(gates)).filter((F.col("distance") < F.col("distance_threshold")) & (F.col("gap") <= F.col("window_days")))
     parts = components(held.select(F.concat_ws("|", "gate", "a").alias("a"), F.concat_ws("|", "gate", "b").alias("b")))
 
@@ -204,16 +260,10 @@ def sweep(articles: DataFrame, vectors: DataFrame, thresholds: tuple[float, ...]
     )
 
 
-def _with_gaps(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    days_of = found.select("unit", "day")
-    both = pairs.join(days_of.select(F.col("unit").alias("a"), F.col("day").alias("da")), "a").join(days_of.select(F.col("unit").alias("b"), F.col("day").alias("db")), "b")
-    return both.select("a", "b", "distance", F.abs(F.col("da") - F.col("db")).alias("gap"))
-
-
 def sweep_edges(found: DataFrame, thresholds: list[float], windows: list[float]) -> DataFrame:
     """Near pairs for each setting, all from one join at the loosest."""
     spark = found.sparkSession
-    gaps = _with_gaps(found, near_units(found, max(thresholds), max(windows)))
+    gaps = near_units(found, max(thresholds), max(windows))
     grid = spark.createDataFrame([(t, w) for t in thresholds for w in windows], "threshold double, window_days double")
     met = gaps.select("distance", "gap").crossJoin(F.broadcast(grid))  # the grid is a parameter
     held = (F.col("distance") < F.col("threshold")) & (F.col("gap") <= F.col("window_days"))
@@ -232,18 +282,13 @@ def intra_pairs(articles: DataFrame, vectors: DataFrame) -> DataFrame:
 def inter_pairs(articles: DataFrame, vectors: DataFrame, window_days: float, within: float) -> DataFrame:
     """Pairs of different events and families within the time window and closer than ``within``."""
     held = event_rows(articles).join(vectors.filter("embedding is not null"), "article_id").filter("event_day is not null")
-    held = held.select("article_id", "event_cluster_id", "publisher_domain", "duplicate_family_id", "event_day", unit(F.col("embedding")).alias("v"))
-    held = held.withColumn("bucket", F.floor(F.col("event_day") / window_days))
-    ahead = held.withColumn("from", F.col("bucket")).withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
-    a, b = ahead.alias("a"), held.withColumn("from", F.col("bucket")).alias("b")
-    met = a.join(b, F.col("a.bucket") == F.col("b.bucket")).filter(
-        ((F.col("a.from") != F.col("b.bucket")) | (F.col("a.article_id") < F.col("b.article_id")))
-        & (F.col("a.event_cluster_id") != F.col("b.event_cluster_id"))
-        & (F.abs(F.col("a.event_day") - F.col("b.event_day")) <= window_days)
-        & ~F.coalesce(F.expr("a.duplicate_family_id = b.duplicate_family_id"), F.lit(False))
-        & (cosine_distance(F.col("a.v"), F.col("b.v")) < within)
-    )
-    return _pair_columns(met)
+    near = near_units(held.select(F.col("article_id").alias("unit"), F.col("event_day").alias("day"), unit(F.col("embedding")).alias("vector")), within, window_days)
+    side = lambda s: held.select(F.col("article_id").alias(s), F.struct("event_cluster_id", "duplicate_family_id", "publisher_domain").alias(f"f{s}"))
+    met = near.join(side("a"), "a").join(side("b"), "b").filter((F.col("fa.event_cluster_id") != F.col("fb.event_cluster_id")) & ~F.coalesce(F.expr("fa.duplicate_family_id = fb.duplicate_family_id"), F.lit(False)))
+    return met.select(
+        F.col("a").alias("left_article_id"), F.col("b").alias("right_article_id"), F.col("fa.publisher_domain").alias("left_publisher"), F.col("fb.publisher_domain").alias("right_publisher"),
+        F.col("fa.event_cluster_id").alias("left_event_cluster_id"), F.col("fb.event_cluster_id").alias("right_event_cluster_id"), "distance", "gap",
+    )
 
 
 def _pair_columns(met: DataFrame) -> DataFrame:

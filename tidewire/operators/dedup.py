@@ -16,7 +16,7 @@ from ..functions.hashing import family_id
 from ..functions.times import hours_apart, instant
 from ..functions.urls import matching_key
 from .components import components
-from .stage import Stage
+from .stage import Stage, numbered
 
 
 # Decision constants.
@@ -48,13 +48,15 @@ REASONS = {
 }
 
 
-def features(articles: DataFrame) -> DataFrame:
-    """Per article what pair scoring reads: normalized texts, word pairs, numbers, time, language."""
+def features(articles: DataFrame, hashed: bool = True) -> DataFrame:
+    """Per article what pair scoring reads: normalized texts, word pairs (as 64-bit hashes unless they are to be
+    read), numbers, time, language."""
     title, description = T.normalized(F.col("title")), T.normalized(F.col("description"))
     base = articles.select("article_id", "language", matching_key(F.col("canonical_url")).alias("url_key"), title.alias("t"), description.alias("d"), instant(F.col("published_at")).alias("time"))
     words = base.withColumn("tw", T.tokens(F.col("t"))).withColumn("dw", T.tokens(F.col("d")))
+    pairs = lambda c: F.transform(T.word_pairs(F.col(c)), lambda p: F.xxhash64(p)) if hashed else T.word_pairs(F.col(c))
     return words.select(
-        "article_id", "language", "url_key", "t", "d", "time", T.word_pairs(F.col("tw")).alias("tp"), T.word_pairs(F.col("dw")).alias("dp"),
+        "article_id", "language", "url_key", "t", "d", "time", pairs("tw").alias("tp"), pairs("dw").alias("dp"),
         F.size("dw").alias("n_words"), T.digit_tokens(F.col("t"), F.col("d")).alias("numbers"),
     )
 
@@ -68,9 +70,9 @@ def blocked_pairs(feats: DataFrame, rules: Rules = RULES) -> DataFrame:
     """Candidate pairs (a < b) with the number of shared word pairs."""
     held = feats.select("article_id", F.explode(F.array_union("tp", "dp")).alias("pair"))
     useful = pair_frequencies(feats).filter(F.col("articles").between(2, rules.most_articles)).select("pair")
-    index = held.join(useful, "pair").select(F.xxhash64("pair").alias("key"), "pair", "article_id")
+    index = held.join(useful, "pair")
     a, b = index.alias("a"), index.alias("b")
-    met = a.join(b, F.expr("a.key = b.key and a.pair = b.pair and a.article_id < b.article_id"))
+    met = a.join(b, F.expr("a.pair = b.pair and a.article_id < b.article_id"))
     shared = met.groupBy(F.col("a.article_id").alias("a"), F.col("b.article_id").alias("b")).agg(F.count("*").alias("shared"))
     return shared.filter(F.col("shared") >= rules.min_shared)
 
@@ -231,10 +233,9 @@ def qc_buckets(feats: DataFrame, related: DataFrame, assignment: DataFrame, foun
     first = all_rows.withColumn("_k", F.row_number().over(Window.partitionBy("a", "b").orderBy("bucket_no"))).filter("_k = 1")
     positive = F.when(F.col("bucket_no") == 0, F.concat(F.lit("POSITIVE_"), "relation")).otherwise(F.col("bucket"))
     side = lambda s: assignment.select(F.col("article_id").alias(s), F.col("duplicate_family_id").alias(f"_{s}"))
-    # at most a few dozen rows beside the accepted pairs, in one order
-    numbered = first.withColumn("_n", F.row_number().over(Window.orderBy("bucket_no", F.desc("_by"), "a", "b")))
     return (
-        numbered.join(side("a"), "a", "left")
+        numbered(first, [F.col("bucket_no"), F.desc("_by"), F.col("a"), F.col("b")], stage, "_n")
+        .join(side("a"), "a", "left")
         .join(side("b"), "b", "left")
         .select(
             F.format_string("qc_%04d", "_n").alias("pair_id"), positive.alias("bucket"), F.col("a").alias("left_article_id"), F.col("b").alias("right_article_id"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -22,6 +23,21 @@ def folder_for(setting: str | None, master: str, application: str) -> str:
     return _own[application]
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` divided by ``keys`` into all shuffle partitions, for work that costs far more than its bytes tell."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def numbered(df: DataFrame, order: list[Column], stage: Stage, name: str) -> DataFrame:
+    """``df`` with the place of each row in ``order``, from 1 on: places in sorted ranges, and a count of the ranges before."""
+    ranges = stage.write(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = sizes.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.join(offsets, "_range").withColumn(name, F.col("_before") + place).drop("_range", "_before")
+
+
 def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     return folder_for(spark.conf.get("spark.checkpoint.dir", None), context.master, context.applicationId)

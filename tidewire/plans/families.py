@@ -71,7 +71,7 @@ def _families(spark, d):
 
 @query(f"with {FEATS}, {HELD}, {FREQUENT} select pair, articles from freq where articles >= 2")
 def word_pair_frequencies(spark, d):
-    return dedup.pair_frequencies(dedup.features(_articles(spark, d))).filter("articles >= 2")
+    return dedup.pair_frequencies(dedup.features(_articles(spark, d), hashed=False)).filter("articles >= 2")
 
 
 @query(f"with {FEATS}, {HELD}, {FREQUENT}, {CANDIDATES} select a, b, shared from cand")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import query, read
 from ..functions import times
 from ..operators import cleaning, contract, history, profile
+from ..operators.stage import spread
 from .scalars import CANONICAL, _rule_sql
 
 OFFSET = "coalesce(regexp_matches({c}, '([Zz]|[+-]00:?00)$') and try_cast({c} as timestamptz) is not null, false)"
@@ -140,6 +141,10 @@ def _ref():
     return F.concat(F.lit("log#raw_record_id="), "raw_record_id")
 
 
+def _candidates(spark, d):
+    return spread(history.candidates(read(spark, d, "payloads"), read(spark, d, "sightings"), _ref(), "domestic"), "raw_payload_ref")
+
+
 BODY = "coalesce(nullif(payload.summary, ''), nullif(payload.description, ''), '')"
 FIRST = "first as (select *, row_number() over (partition by entry_key order by observed_at, raw_record_id) as k from payloads)"
 CLEAN = rf"""{FIRST}, seen_at as (select entry_key, min(observed_at) as f from sightings group by 1),
@@ -157,14 +162,14 @@ ruled as (select *, title || ' ' || description as text from canon)"""
 )
 def clean_domestic(spark, d):
     """Candidates of the domestic branch cleaned to audit rows."""
-    rows = history.candidates(read(spark, d, "payloads"), read(spark, d, "sightings"), _ref(), "domestic")
+    rows = _candidates(spark, d)
     audit = cleaning.clean_domestic(rows)
     return audit.select("raw_payload_ref", "article_id", "title", "canonical_url", "description", "first_seen_at", "publisher_id", "rejection_reason", "vietnam_relevance")
 
 
 @query(f"with {CLEAN} select coalesce(nullif(concat_ws(';', case when title = '' then 'missing_title' end, case when canonical_url = '' then 'invalid_url' end), ''), 'accepted') as reason, count(*) as rows from ruled group by 1")
 def rejection_reasons(spark, d):
-    rows = history.candidates(read(spark, d, "payloads"), read(spark, d, "sightings"), _ref(), "domestic")
+    rows = _candidates(spark, d)
     return cleaning.clean_domestic(rows).groupBy(F.coalesce("rejection_reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("rows"))
 
 
@@ -192,7 +197,7 @@ def clean_international(spark, d):
 )
 def snapshot_relevant(spark, d):
     """Relevant articles of one branch first seen within three months, one row per canonical address."""
-    rows = history.candidates(read(spark, d, "payloads"), read(spark, d, "sightings"), _ref(), "domestic")
+    rows = _candidates(spark, d)
     found, _ = cleaning.snapshot(rows, "domestic", "2026-03-01T00:00:00Z", "2026-06-01T00:00:00Z")
     return found.select("canonical_url", "raw_payload_ref", "first_seen_at")
 

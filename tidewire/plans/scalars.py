@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import query, read
+from ..operators.stage import spread
 from ..functions import hashing, text, times, urls
-from ..functions.relevance import INTERNATIONAL_TERMS, PATTERNS, RULES, deciding_rule, domestic_relevance, international_relevance
+from ..functions.relevance import INTERNATIONAL_TERMS, PATTERNS, RULES, domestic_relevance, international_relevance, with_deciding_rule
 from ..operators import cleaning
 from ..operators.history import entry_picks
 
@@ -206,9 +207,9 @@ def _rule_sql() -> str:
 )
 def relevance_cascade(spark, d):
     text_of = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    rows = read(spark, d, "articles_master").select("article_id", text_of("title"), text_of("description"), text_of("url")).distinct()
-    rule = deciding_rule(F.col("title"), F.col("description"), F.col("url"))
-    return rows.select("article_id", "title", "description", rule.alias("rule"), domestic_relevance(rule).alias("relevant"))
+    rows = read(spark, d, "articles_master").select("article_id", text_of("title"), text_of("description"), text_of("url"))
+    ruled = with_deciding_rule(spread(rows, *rows.columns).distinct(), "title", "description", "url", "rule")
+    return ruled.select("article_id", "title", "description", "rule", domestic_relevance(F.col("rule")).alias("relevant"))
 
 
 _TERMS = " or ".join(f"contains(t, '{x}')" for x in INTERNATIONAL_TERMS)
