@@ -91,3 +91,10 @@ def test_stream_equals_batch(spark, tmp_path):
     # a batch that is run again changes nothing
     ingest.write_batch(spark.read.schema(",".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.json(str(landing)).schema)).json(f"{landing}/1.jsonl").withColumn("publisher_id_hint", F.lit(None).cast("string")).select("observed_at", "run_id", "branch", "collector_host", "source_system", "source_locator", "publisher_id_hint", "content_hash", F.struct("payload.link", "payload.title").alias("payload")), 1)
     assert spark.read.parquet(f"{tmp_path}/logs/sightings").count() == 5
+    assert [(r["n_entries"], r["n_new"]) for r in ingest.feed_results().orderBy("batch").collect()] == [(2, 2), (3, 2)]
+    assert rows_of(ingest.feed_starts()) == [("domestic", "h", "feed", "2026-09-01T00:00:00Z")]
+    assert ingest.seen_pairs(near=spark.sql("select 'u1' as entry_key")).filter("entry_key = 'u1'").count() == 2
+    pairs, results = rows_of(ingest.seen_pairs().drop("batch")), rows_of(ingest.feed_results().drop("batch"))
+    ingest.compact(2)
+    assert (rows_of(ingest.seen_pairs().drop("batch")), rows_of(ingest.feed_results().drop("batch"))) == (pairs, results)
+    assert [p.name for p in (tmp_path / "logs" / "sightings").glob("batch=*")] == ["batch=1"] and spark.read.parquet(f"{tmp_path}/logs/sightings").count() == 5

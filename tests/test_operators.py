@@ -8,7 +8,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from tidewire.operators import analysis, cleaning, cluster, contract, dedup, health, history, profile, review
+from tidewire.operators import analysis, cleaning, cluster, contract, dedup, health, history, profile, review, embedding, run, snapshot, stage
 from tidewire.operators.components import components
 from tidewire.schemas import ARTICLE, ARTICLE_COLUMNS, AUDIT_COLUMNS, CANDIDATE, CLUSTERED, HEARTBEAT, PAYLOAD, SIGHTING
 
@@ -291,6 +291,100 @@ def test_contract(spark):
     assert broken == {"first_seen_at", "vietnam_relevance"}
 
 
+def test_shared_folder_is_required_on_a_cluster():
+    assert stage.folder_for("hdfs:///shared/", "yarn", "a") == "hdfs:///shared"
+    assert stage.folder_for(None, "local[4]", "a").startswith("file:")
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            stage.folder_for(None, master, "a")
+
+
+def test_numbering_by_ranges(spark):
+    df = spark.range(1000).withColumn("x", F.pmod(F.xxhash64("id"), F.lit(50)))
+    found = stage.numbered(df, [F.desc("x"), F.col("id")], stage.Stage(spark, "n"), "k").collect()
+    assert [r["k"] for r in sorted(found, key=lambda r: (-r["x"], r["id"]))] == list(range(1, 1001))
+
+
+def test_blocks_of_a_hot_time_bucket(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = units(spark, rng.uniform(0, 60, 80), [float(x) for x in rng.uniform(0, 12, 80).round(2)])
+    whole = rows_of(cluster.near_units(df, 0.1, 5.0).select("a", "b", F.round("distance", 9)))
+    monkeypatch.setattr(cluster, "BLOCK", 7)
+    assert rows_of(cluster.near_units(df, 0.1, 5.0).select("a", "b", F.round("distance", 9))) == whole
+    rows = df.collect()
+    near = {(p["unit"], q["unit"]) for p in rows for q in rows if p["unit"] < q["unit"] and abs(p["day"] - q["day"]) <= 5 and 1 - np.dot(p["vector"], q["vector"]) < 0.1}
+    assert {r[:2] for r in whole} == near and near
+
+
+@pytest.mark.parametrize("linkage", cluster.LINKAGES)
+def test_agglomeration_against_the_plain_rule(linkage):
+    def plain(x, times, threshold, window):
+        distance = np.clip(1 - x @ x.T, 0, 2)
+        distance[~(np.abs(times[:, None] - times[None, :]) <= window)] = cluster.GATED
+        np.fill_diagonal(distance, np.inf)
+        label, size = np.arange(len(x)), np.ones(len(x))
+        while True:
+            i, j = sorted(divmod(int(np.argmin(distance)), len(x)))
+            if not distance[i, j] < threshold:
+                return label
+            d = np.maximum(distance[i], distance[j]) if linkage == "complete" else (size[i] * distance[i] + size[j] * distance[j]) / (size[i] + size[j])
+            distance[i], distance[:, i] = d, d
+            distance[i, i] = np.inf
+            distance[j], distance[:, j] = np.inf, np.inf
+            label[label == j] = i
+            size[i] += size[j]
+
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        angles = np.radians(rng.integers(0, 40, 50) * 3)  # many ties
+        x, times = np.stack([np.cos(angles), np.sin(angles)], 1), rng.integers(0, 12, 50).astype(float)
+        assert (plain(x, times, 0.3, 5) == cluster.agglomerate(x, times, 0.3, 5, linkage)).all()
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(cluster, "MOST_UNITS", 10)
+        with pytest.raises(ValueError, match="50 units"):
+            cluster.agglomerate(x, times, 0.3, 5, linkage)
+
+
+def test_clustering_run(spark):
+    df, vectors = events(spark, [0, 0, 3, 180], [0, 0, 1, 0])
+    df = df.select(*ARTICLE_COLUMNS)
+    done = run.clustering_run(df, vectors)
+    row = done.manifest.head()
+    assert (row["rows"], row["total_articles"], row["linkage"]) == (4, 4, "complete") and done.clustered.count() == 4
+    assert run.clustering_run(df, vectors, expected=row["fingerprint"]).manifest.head() == row
+    with pytest.raises(contract.ContractError, match="fingerprint"):
+        run.clustering_run(df, vectors, expected="0")
+    with pytest.raises(contract.ContractError):
+        run.clustering_run(df.drop("title"), vectors)
+
+
+def test_sources_starts_and_late_articles(spark):
+    payloads = spark.createDataFrame([("r1", "feed"), ("r2", "other")], "raw_record_id string, source_locator string")
+    seen = [("2026-09-10", "domestic", "h", "x#raw_record_id=r1"), ("2026-09-11", "domestic", "g", "x#raw_record_id=r1"), ("2026-09-12", "domestic", "h", "x#raw_record_id=r9"), ("2026-09-12", "domestic", "h", None)]
+    sightings = spark.createDataFrame(seen, "observed_at string, branch string, collector_host string, payload_ref string").withColumn("observed_at", F.concat("observed_at", F.lit("T00:00:00Z")))
+    sources = snapshot.reference_sources(payloads, sightings)
+    assert rows_of(sources) == [("x#raw_record_id=r1", "domestic", "h", "feed"), ("x#raw_record_id=r9", "domestic", "h", None)]
+    starts = snapshot.feed_starts(sightings, sources)
+    assert ("domestic", "h", "feed", "2026-09-10T00:00:00Z") in rows_of(starts)
+    articles = spark.createDataFrame([("a", "2026-09-01T00:00:00Z", "x#raw_record_id=r1"), ("b", "2026-09-27T00:00:00Z", "x#raw_record_id=r1"), ("c", "2026-09-01T00:00:00Z", "unknown"), ("d", None, "x#raw_record_id=r1")], "id string, published_at string, raw_payload_ref string")
+    assert {r["id"]: r["is_pre_start"] for r in snapshot.with_pre_start(articles, sources, starts).collect()} == {"a": True, "b": False, "c": None, "d": None}
+    other = sources.limit(0).union(spark.sql("select 'x#raw_record_id=r1', 'international', 'z', null"))
+    assert ("x#raw_record_id=r1", "international", "z", None) in rows_of(snapshot.merged(sources, other)) and snapshot.merged(sources, other).count() == 2
+
+
+def test_results_in_printed_lines(spark):
+    line = health.result_line(F.array(health.feed_result(F.lit("f"), F.lit("u"), F.lit(200), F.lit(None).cast("string"), F.lit(3), F.lit(1), F.lit("x"))))
+    df = spark.range(1).select(F.concat(F.lit("FEED_RESULTS broken\n"), line, F.lit("\nend")).alias("a"), F.lit("no line").alias("b"), F.lit("FEED_RESULTS {").alias("c"))
+    row = df.select(*(health.results_of(F.col(c)).alias(c) for c in "abc")).head()
+    assert row["a"][0]["n_entries"] == 3 and row["a"][0]["error"] == "x" and row["b"] is None and row["c"] is None
+
+
+def test_embedding_by_an_encoder(spark):
+    df = spark.createDataFrame([(1, "a b a"), (2, None), (3, "")], "id long, t string")
+    found = {r["id"]: r["embedding"] for r in embedding.embedded(df, "id", "t", lambda: embedding.hashed_words(16), 1).collect()}
+    assert found["2"] is None and np.isclose(np.linalg.norm(found["1"]), 1) and not any(found["3"])
+
+
 def test_fingerprint_ignores_order(spark):
     df = spark.range(100).withColumn("x", F.col("id") % 7)
     assert rows_of(contract.content_fingerprint(df)) == rows_of(contract.content_fingerprint(df.orderBy(F.desc("id"))))

@@ -79,13 +79,13 @@ def build_master(domestic: DataFrame, international: DataFrame, audits: tuple[Da
     for df, branch in ((domestic, "domestic"), (international, "international")):
         check_columns(df, ARTICLE_COLUMNS)
         require(df, row_rules(branch, relevant_only=True), branch)
-    master = domestic.unionByName(international)
+    master = require(domestic.unionByName(international), row_rules(relevant_only=True), "master")
     audit = None
     if audits is not None:
         for df, branch in zip(audits, BRANCHES):
             check_columns(df, AUDIT_COLUMNS)
             require(df, row_rules(branch, audited=True), f"{branch} audit")
-        audit = audits[0].unionByName(audits[1])
+        audit = require(audits[0].unionByName(audits[1]), row_rules(audited=True), "audit")
     return master, audit
 
 

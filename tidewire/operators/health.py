@@ -94,6 +94,28 @@ def last_runs(runs: DataFrame, most: int, by: str = "run_at", tie: str = "run_id
     return runs.orderBy(F.desc(by), F.desc(tie)).limit(most).orderBy(by, tie)
 
 
+def feed_result(feed_id: Column, feed_url: Column, status: Column, encoding: Column, entries: Column, new: Column, error: Column) -> Column:
+    """The result of one poll of one feed."""
+    named = {"feed_id": feed_id, "feed_url": feed_url, "http_status": status.cast("int"), "content_encoding": encoding, "n_entries": entries.cast("int"), "n_new": new.cast("int"), "error": error}
+    return F.struct(*(v.alias(k) for k, v in named.items()))
+
+
+FEED_RESULT = "feed_id string, feed_url string, http_status int, content_encoding string, n_entries int, n_new int, error string"
+RESULT_LINE = "FEED_RESULTS "  # begins the line that carries the results of a run
+
+
+def result_line(results: Column) -> Column:
+    """One line of JSON that carries the results of a run's feeds."""
+    return F.concat(F.lit(RESULT_LINE), F.to_json(results, {"ignoreNullFields": "false"}))
+
+
+def results_of(stdout: Column) -> Column:
+    """The feed results in a collector's printed lines: the last line that begins with the prefix; null without one or if it is broken."""
+    lines = F.filter(F.split(stdout, "\n"), lambda x: F.startswith(x, F.lit(RESULT_LINE)))
+    last = F.when(F.size(lines) > 0, F.element_at(lines, -1))
+    return F.from_json(F.substring(last, len(RESULT_LINE) + 1, 1 << 30), f"array<struct<{FEED_RESULT.replace(' ', ': ').replace(',:', ',')}>>")
+
+
 def reported_counts(stdout: Column) -> tuple[Column, Column]:
     """(new payloads, entries seen) from a collector's printed lines; null where a line is missing."""
     number = lambda label: F.nullif(F.regexp_replace(F.regexp_extract(stdout, rf"(?m)^{label}\s*:\s*([\d,]+)", 1), ",", ""), F.lit("")).cast("long")

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """(column, nulls, distinct) for every column, from one pass."""
+    """(column, type, nulls, distinct) for every column, from one pass."""
     sums = [a for c in df.columns for a in (F.count_if(F.col(c).isNull()).alias(f"{c}|n"), F.count_distinct(F.col(c)).alias(f"{c}|d"))]
-    wide = df.agg(*sums)
-    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}|n`").alias("nulls"), F.col(f"`{c}|d`").alias("distinct")) for c in df.columns))
+    wide, kinds = df.agg(*sums), dict(df.dtypes)
+    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("type"), F.col(f"`{c}|n`").alias("nulls"), F.col(f"`{c}|d`").alias("distinct")) for c in df.columns))
     return wide.select(F.explode(rows).alias("r")).select("r.*")
 
 

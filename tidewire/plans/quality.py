@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..catalog import query, read
 from ..functions import times
-from ..operators import cleaning, contract, history, profile
+from ..operators import cleaning, cluster, contract, history, profile, run, snapshot
 from ..operators.stage import spread
+from ..schemas import ARTICLE_COLUMNS
+from ..streaming.ingest import late_flags
 from .scalars import CANONICAL, _rule_sql
 
 OFFSET = "coalesce(regexp_matches({c}, '([Zz]|[+-]00:?00)$') and try_cast({c} as timestamptz) is not null, false)"
@@ -55,26 +57,42 @@ def dup_value_profile(spark, d):
     return contract.uniqueness(_master(spark, d), "article_id")
 
 
-@query("select branch, article_id, canonical_url from articles_master")
+@query(f"select {', '.join(ARTICLE_COLUMNS)} from articles_master where branch in ('domestic', 'international') and vietnam_relevance")
 def master_build(spark, d):
-    """The branches validated, united and validated again."""
-    rows = _master(spark, d)
-    parts = [rows.filter(F.col("branch") == b) for b in ("domestic", "international")]
-    for part, b in zip(parts, ("domestic", "international")):
-        contract.require(part, contract.row_rules(b), b)
-    return parts[0].unionByName(parts[1]).select("branch", "article_id", "canonical_url")
+    """The relevant rows of both branches validated, united and validated again."""
+    rows = _master(spark, d).filter("vietnam_relevance")
+    return contract.build_master(rows.filter("branch = 'domestic'"), rows.filter("branch = 'international'"))[0]
 
 
-@query("select 'rows_lost' as rule, cast(0 as bigint) as rows union all select 'rows_added', 0 union all select 'no_event', count(*) filter (event_cluster_id is null) from articles_clustered union all select 'family_split', (select count(*) from (select duplicate_family_id from articles_clustered where duplicate_family_id is not null group by 1 having count(distinct event_cluster_id) > 1))")
+@query("select unnest(['rows_lost', 'rows_added', 'no_event', 'family_split']) as rule, cast(0 as bigint) as rows")
 def output_problems(spark, d):
+    """The checks on the events that the clustering gives: none may fail."""
+    rows = _clustered(spark, d).drop("event_cluster_id")
+    units = cluster.units(rows, read(spark, d, "article_vectors"))
+    return contract.output_problems(rows, cluster.propagate(rows, cluster.cluster(units)))
+
+
+@query("""select 'rows_lost' as rule, count(*) filter (event_cluster_id is null) as rows from articles_clustered union all select 'rows_added', cast(0 as bigint) union all select 'no_event', cast(0 as bigint)
+       union all select 'family_split', (select count(*) from (select duplicate_family_id from articles_clustered where duplicate_family_id is not null and event_cluster_id is not null group by 1 having count(distinct event_cluster_id) > 1))""")
+def output_problems_of_stored(spark, d):
+    """The same checks on an output that is wrong: the stored events without the rows that have none."""
     rows = _clustered(spark, d)
-    return contract.output_problems(rows.drop("event_cluster_id"), rows)
+    return contract.output_problems(rows.drop("event_cluster_id"), rows.filter("event_cluster_id is not null"))
+
 
+MARK = "cast(sum(cast('0x' || substr(md5(concat_ws(chr(31), " + ", ".join(f"coalesce(cast({c} as varchar), '\\N')" for c in ARTICLE_COLUMNS) + ")), 1, 15) as hugeint)) as varchar)"
 
-@query("select count(*) as rows from articles_clustered")
+
+@query(f"select count(*) as rows, {MARK} as fingerprint from articles_clustered")
 def content_fingerprint(spark, d):
-    """Row count of the fingerprint row; the fingerprint itself is Spark's own hash, tested for order."""
-    return contract.content_fingerprint(_clustered(spark, d)).select("rows")
+    return contract.content_fingerprint(_clustered(spark, d).drop("event_cluster_id"))
+
+
+@query(f"select count(*) as rows, {MARK} as fingerprint, count(*) as total_articles from (select * replace (cast(null as varchar) as duplicate_family_id) from articles_clustered)")
+def clustering_run(spark, d):
+    """A whole run from the contract's gates to the manifest; its events are compared with ``event_clusters`` in the tests."""
+    rows = _clustered(spark, d).drop("event_cluster_id").withColumn("duplicate_family_id", F.lit(None).cast("string")).select(*ARTICLE_COLUMNS)
+    return run.clustering_run(rows, read(spark, d, "article_vectors")).manifest.select("rows", "fingerprint", "total_articles")
 
 
 @query("select branch, category, count(*) as rows from articles_master group by 1, 2")
@@ -87,12 +105,14 @@ def tri_state_counts(spark, d):
     return profile.tri_state(_master(spark, d), "vietnam_relevance")
 
 
-COLUMNS = ("article_id", "title", "publisher_domain", "published_at", "language", "publisher_country", "description", "category")
-
-
-@query(" union all ".join(f"select '{c}' as \"column\", count(*) filter ({c} is null) as nulls, count(distinct {c}) as \"distinct\" from articles_master" for c in COLUMNS))
+@query(
+    " union all ".join(
+        f"select '{c}' as \"column\", '{'boolean' if c == 'vietnam_relevance' else 'string'}' as type, count(*) filter ({c} is null) as nulls, count(distinct {c}) as \"distinct\" from articles_master"
+        for c in ARTICLE_COLUMNS
+    )
+)
 def dataset_profile(spark, d):
-    return profile.column_profile(_master(spark, d).select(*COLUMNS))
+    return profile.column_profile(_master(spark, d))
 
 
 @query("select publisher_domain as value, count(*) as n from articles_master group by 1 order by n desc, value nulls last limit 10")
@@ -202,6 +222,58 @@ def snapshot_relevant(spark, d):
     return found.select("canonical_url", "raw_payload_ref", "first_seen_at")
 
 
+SOURCES = """seen_first as (select payload_ref, branch, collector_host, split_part(payload_ref, '=', -1) as raw_record_id,
+  row_number() over (partition by payload_ref order by observed_at, branch, collector_host) as k from sightings where payload_ref is not null),
+sources as (select payload_ref as raw_payload_ref, branch, collector_host, source_locator from seen_first left join (select raw_record_id, min(source_locator) as source_locator from payloads group by 1) using (raw_record_id) where k = 1),
+started as (select s.branch, s.collector_host, r.source_locator, min(s.observed_at) as feed_started_at from sightings s join sources r on r.raw_payload_ref = s.payload_ref where r.source_locator is not null group by all)"""
+
+
+def _sources(spark, d):
+    payloads, sightings = read(spark, d, "payloads"), read(spark, d, "sightings")
+    parts = [snapshot.reference_sources(payloads, sightings.filter(F.col("branch") == b)) for b in ("domestic", "international")]
+    return sightings, snapshot.merged(*parts)
+
+
+@query(
+    f"""with {SOURCES.replace('from sightings where payload_ref is not null', "from sightings where payload_ref is not null and branch = 'domestic'")}, second as (select payload_ref, arg_min(struct_pack(b := branch, h := collector_host), (observed_at, branch, collector_host)) as s from sightings where branch = 'international' and payload_ref is not null group by 1)
+        select a.article_id, coalesce(s.b, r.branch) as branch, coalesce(s.h, r.collector_host) as collector_host, p.source_locator from articles_clustered a
+        left join sources r using (raw_payload_ref) left join second on second.payload_ref = a.raw_payload_ref left join (select raw_record_id, min(source_locator) as source_locator from payloads group by 1) p on p.raw_record_id = split_part(a.raw_payload_ref, '=', -1)"""
+)
+def reference_sources(spark, d):
+    """The feed of each article, the maps of both branches merged; the international one wins."""
+    _, sources = _sources(spark, d)
+    return _clustered(spark, d).select("article_id", "raw_payload_ref").join(sources, "raw_payload_ref", "left").select("article_id", "branch", "collector_host", "source_locator")
+
+
+@query(f"with {SOURCES} select article_id, try_cast(published_at as timestamptz) < try_cast(feed_started_at as timestamptz) as is_pre_start from articles_clustered a left join sources r using (raw_payload_ref) left join started t on (t.branch, t.collector_host, t.source_locator) = (r.branch, r.collector_host, r.source_locator)")
+def snapshot_pre_start(spark, d):
+    """Articles published before their feed was watched, by reference, collector and feed."""
+    sightings = read(spark, d, "sightings")
+    sources = snapshot.reference_sources(read(spark, d, "payloads"), sightings)
+    return snapshot.with_pre_start(_clustered(spark, d), sources, snapshot.feed_starts(sightings, sources)).select("article_id", "is_pre_start")
+
+
+@query(
+    f"""with {SOURCES} select s.branch, s.collector_host, try_cast(a.published_at as timestamptz) < try_cast(t.feed_started_at as timestamptz) as is_pre_start, count(*) as sightings
+        from sightings s left join sources r on r.raw_payload_ref = s.payload_ref left join (select raw_payload_ref, min(published_at) as published_at from articles_clustered group by 1) a on a.raw_payload_ref = s.payload_ref
+        left join started t on (t.branch, t.collector_host, t.source_locator) = (s.branch, s.collector_host, r.source_locator) group by all"""
+)
+def late_sightings(spark, d):
+    """Sightings of articles that were published before the collector watched their feed."""
+    sightings = read(spark, d, "sightings")
+    sources = snapshot.reference_sources(read(spark, d, "payloads"), sightings)
+    published = _clustered(spark, d).groupBy(F.col("raw_payload_ref").alias("payload_ref")).agg(F.min("published_at").alias("published_at"))
+    located = sightings.join(sources.select(F.col("raw_payload_ref").alias("payload_ref"), "source_locator"), "payload_ref", "left").join(published, "payload_ref", "left")
+    return late_flags(located, snapshot.feed_starts(sightings, sources)).groupBy("branch", "collector_host", "is_pre_start").agg(F.count("*").alias("sightings"))
+
+
+@query()
+def snapshot_branches(spark, d):
+    """The snapshot of each branch over all collectors, with the flag of late articles."""
+    parts = [snapshot.snapshot_of_branch(read(spark, d, "payloads"), read(spark, d, "sightings"), b)[0] for b in ("domestic", "international")]
+    return parts[0].unionByName(parts[1]).select("branch", "article_id", "raw_payload_ref", "is_pre_start")
+
+
 @query("select 'customer' as source, c_nationkey as nation, count(*) as rows from customer group by 2 union all select 'supplier', s_nationkey, count(*) from supplier group by 2")
 def union_contract(spark, d):
     """Two tables of different columns united by name with a discriminator."""

@@ -154,6 +154,17 @@ def embedding_texts(spark, d):
     return read(spark, d, "articles_clustered").select("article_id", text.embedding_text(F.col("title"), F.col("description")).alias("text"))
 
 
+@query("select article_id, 384 as dim, 1.0::double as length from articles_clustered where title is not null and trim(title) <> ''")
+def text_embeddings(spark, d):
+    """Embedding texts through the encoder that needs no model."""
+    from ..functions.vectors import dot
+    from ..operators.embedding import embedded, hashed_words
+
+    texts = read(spark, d, "articles_clustered").filter("trim(title) <> ''").select("article_id", text.embedding_text(F.col("title"), F.col("description")).alias("text"))
+    v = F.col("embedding")
+    return embedded(texts, "article_id", "text", hashed_words).select("article_id", F.size(v).alias("dim"), F.round(F.sqrt(dot(v, v)), 5).alias("length"))
+
+
 @query(
     r"""select raw_record_id, trim(regexp_replace(regexp_replace(coalesce(payload.summary, payload.description, ''), '<[^>]+>', ' ', 'g'), '^\s+|\s+$', '', 'g')) as body from payloads"""
 )
@@ -230,6 +241,24 @@ def json_props(spark, d):
     return rows.select("event_id", get("k").alias("k"), get("none").alias("missing"), parsed.isNull().alias("invalid"))
 
 
+@query(
+    """select run_id, source_locator as feed_url, cast(count(*) as integer) as n_entries, cast(count(*) filter (is_new) as integer) as n_new from sightings
+       join (select raw_record_id, min(source_locator) as source_locator from payloads group by 1) p on p.raw_record_id = split_part(payload_ref, '=', -1) group by all"""
+)
+def feed_result_lines(spark, d):
+    """The feed results of each run carried through one printed line and read back."""
+    from ..operators.health import feed_result, result_line, results_of
+
+    locators = read(spark, d, "payloads").groupBy("raw_record_id").agg(F.min("source_locator").alias("feed_url"))
+    polled = read(spark, d, "sightings").withColumn("raw_record_id", F.substring_index("payload_ref", "=", -1)).join(locators, "raw_record_id")
+    feeds = polled.groupBy("run_id", "feed_url").agg(F.count("*").alias("all"), F.count_if("is_new").alias("new"))
+    none = F.lit(None).cast("string")
+    one = feed_result(F.col("feed_url"), F.col("feed_url"), F.lit(200), none, F.col("all"), F.col("new"), none)
+    runs = feeds.groupBy("run_id").agg(F.collect_list(one).alias("results"))  # a run polls a fixed list of feeds
+    printed = runs.select("run_id", F.concat(F.lit("start\nFEED_RESULTS []\n"), result_line(F.col("results")), F.lit("\ndone")).alias("stdout"))
+    return printed.select("run_id", F.explode(results_of(F.col("stdout"))).alias("r")).select("run_id", "r.feed_url", "r.n_entries", "r.n_new")
+
+
 @query(
     r"""with m as (select 'New payloads archived : ' || format('{:,}', count(*) filter (is_new)) || chr(10) || 'Entries seen this run : ' || format('{:,}', count(*)) as o, run_id from sightings group by run_id)
         select run_id, cast(replace(regexp_extract(o, 'New payloads archived : ([0-9,]+)', 1), ',', '') as bigint) as new_payloads, cast(replace(regexp_extract(o, 'Entries seen this run : ([0-9,]+)', 1), ',', '') as bigint) as entries_seen from m"""

@@ -89,4 +89,4 @@ def news_index(spark: SparkSession, pattern: str) -> DataFrame:
     if not _matches(spark, pattern):
         return spark.createDataFrame([], "url string, title string, seendate string, domain string, language string, sourcecountry string")
     parsed = spark.read.text(pattern, wholetext=True).select(F.from_json("value", schema).alias("j"))
-    return parsed.select(F.explode("j.articles").alias("a")).select("a.*").filter("trim(url) <> ''").dropDuplicates(["url"])
+    return parsed.select(F.explode("j.articles").alias("a")).select("a.*").filter("trim(url) <> ''").groupBy("url").agg(F.min(F.struct("seendate", "title", "domain", "language", "sourcecountry")).alias("a")).select("url", "a.title", "a.seendate", "a.domain", "a.language", "a.sourcecountry")
