@@ -428,7 +428,7 @@ def test_samples_keep_quotas(spark):
 
 def test_profiles(spark):
     df = spark.createDataFrame([("a", None), ("a", 1), ("b", 1)], "x string, y int")
-    assert rows_of(profile.column_profile(df)) == [("x", 0, 2), ("y", 1, 1)]
+    assert rows_of(profile.column_profile(df)) == [("x", "string", 0, 2), ("y", "int", 1, 1)]
     assert rows_of(profile.top_values(df, "x", 1)) == [("a", 2)]
     state = spark.sql("select map('d', map('h', map('u', named_struct('feed_started_at', 't', 'publisher_id_hint', 'p')))) as state")
     assert rows_of(profile.flatten_feed_state(state)) == [("d", "h", "u", "t", "p")]
