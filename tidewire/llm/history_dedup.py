@@ -36,8 +36,8 @@ BOUNDARY_BITS = 4  # chunks of 16 bytes on average
 LONGEST = 4095  # bytes of a chunk; its length stands in the lower SIZE_BITS bits of its key
 SIZE_BITS = 12
 COVERAGE = 0.5
-#: Keys held by more contents than this are looked up in SALTS parts.
-HOT, SALTS = 4096, 64
+#: Keys whose lookups make more comparisons than this are looked up in SALTS parts.
+HOT, SALTS = 1 << 26, 64
 #: Word pairs that a division of the index should hold, and what a record is reckoned at.
 DIVISION_ROWS, RECORD_ROWS = 500_000, 64
 MOST_BITS = 14  # 16,384 divisions: the bound of what the driver learns of a batch
@@ -192,11 +192,14 @@ class SeenIndex:
         """(ahi, alo, bhi, blo): contents that share a looked-up key with an earlier one and may reach the threshold."""
         looked = scratch.table(looked.filter("contents > 1"))  # a key that one content holds meets nothing
         listed = self.near(kind, looked.select("key")).unionByName(keyed(new, kind))
-        met = _met(looked.filter(F.col("contents") <= HOT), listed, ["key"], threshold)
-        hot = looked.filter(F.col("contents") > HOT)
-        if not hot.isEmpty():
-            parts = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            met = met.union(_met(parts, listed.withColumn("salt", F.pmod(F.xxhash64(*CONTENT), F.lit(SALTS)).cast("int")), ["key", "salt"], threshold))
+        work = looked.groupBy("key").agg((F.count("*") * F.max("contents")).alias("comparisons"))
+        hot = scratch.table(work.filter(F.col("comparisons") > HOT).select("key"))
+        if hot.isEmpty():
+            met = _met(looked, listed, ["key"], threshold)
+        else:
+            met = _met(looked.join(hot, "key", "left_anti"), listed, ["key"], threshold)
+            parts = looked.join(hot, "key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            met = met.union(_met(parts, listed.join(hot, "key").withColumn("salt", F.pmod(F.xxhash64(*CONTENT), F.lit(SALTS)).cast("int")), ["key", "salt"], threshold))
         return scratch.table(met.distinct())
 
     def compared(self, met: DataFrame, new: DataFrame, scratch: Scratch) -> DataFrame:
