@@ -16,7 +16,7 @@ from ..functions.hashing import family_id
 from ..functions.times import hours_apart, instant
 from ..functions.urls import matching_key
 from .components import components
-from .stage import Stage, numbered
+from .stage import Stage, numbered, spread
 
 
 # Decision constants.
@@ -70,7 +70,7 @@ def blocked_pairs(feats: DataFrame, rules: Rules = RULES) -> DataFrame:
     """Candidate pairs (a < b) with the number of shared word pairs."""
     held = feats.select("article_id", F.explode(F.array_union("tp", "dp")).alias("pair"))
     useful = pair_frequencies(feats).filter(F.col("articles").between(2, rules.most_articles)).select("pair")
-    index = held.join(useful, "pair")
+    index = spread(held.join(useful, "pair"), "pair")  # few bytes, many meetings
     a, b = index.alias("a"), index.alias("b")
     met = a.join(b, F.expr("a.pair = b.pair and a.article_id < b.article_id"))
     shared = met.groupBy(F.col("a.article_id").alias("a"), F.col("b.article_id").alias("b")).agg(F.count("*").alias("shared"))
