@@ -32,11 +32,14 @@ def connected_groups(edges: DataFrame, left: str, right: str) -> tuple[DataFrame
             break
         both = rest.union(rest.select("y", "x"))
         step = both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("to"))
+        jumps = []
         for _ in range(2):  # pointer jumping: each jump doubles the distance a label travels
             step = scratch.table(step)
+            jumps.append(step)
             far = step.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
             step = step.join(far, "to", "left").select("node", F.coalesce("beyond", "to").alias("to"))
         step = scratch.table(step)
+        scratch.drop(*jumps)
         old_rest, old_labels = rest, labels
         to_x, to_y = step.select(F.col("node").alias("x"), F.col("to").alias("lx")), step.select(F.col("node").alias("y"), F.col("to").alias("ly"))
         moved = rest.join(to_x, "x").join(to_y, "y").filter("lx <> ly")
