@@ -274,6 +274,9 @@ def test_clusters_of_separate_blobs(spark):
     assert sizes == [2, 2, 3, 7, 31]
     assert all(len(r["typical_members"].split(";")) == min(3, r["size"]) for r in clusters.collect())
     assert markov.similarity_clusters(df.limit(0))[0].isEmpty()
+    # an article with two vectors links nothing but by one of them
+    twice = spark.createDataFrame([(i, v) for i, v in (("x", [1.0, 0.0, 0.0]), ("y", [0.0, 1.0, 0.0]), ("z", [1.0, 0.0, 0.0]), ("z", [0.0, 1.0, 0.0]))], "article_id string, embedding array<float>")
+    assert len({r["first_article_id"] for r in markov.similarity_clusters(twice)[0].collect()}) == 1
 
 
 @pytest.mark.parametrize("dim, values", [(64, 1), (64, 2), (64, 3), (32, 2)])

@@ -141,10 +141,13 @@ def _lists(values: np.ndarray, null: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), mask=np.append(null, False)), pa.array(values[~null].ravel()))
 
 
-def different_vectors(hashed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(vid, n1, n2, s0, s1, buckets, unit) once per different vector; numbers of 64 bits that cannot collide."""
+def different_vectors(hashed: DataFrame, scratch: Scratch, named: DataFrame | None = None) -> DataFrame:
+    """(vid, n1, n2, s0, s1, buckets, unit) once per different vector, of those in ``named`` (n1, n2) where it is given; numbers
+    of 64 bits that cannot collide."""
     only = (F.first(c, ignorenulls=True).alias(c) for c in ("s0", "s1", "buckets", "unit"))
-    return scratch.table(hashed.groupBy("n1", "n2").agg(*only).select(F.monotonically_increasing_id().alias("vid"), "*"))
+    every = hashed.groupBy("n1", "n2").agg(*only)
+    every = every if named is None else every.join(named.select("n1", "n2").distinct(), ["n1", "n2"], "left_semi")
+    return scratch.table(every.select(F.monotonically_increasing_id().alias("vid"), "*"))
 
 
 def near_vectors(different: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
@@ -252,8 +255,8 @@ def similarity_clusters(vectors: DataFrame, threshold: float = THRESHOLD) -> tup
     TYPICAL most typical members in order.
 
     Null, empty, zero and not-finite vectors, and vectors of another length than the most common one,
-    are in no cluster; vectors need not be of unit length; an article in several rows counts once, with its first vector in
-    array order; null ids are left out.
+    are in no cluster; vectors need not be of unit length; an article in several rows counts once, with the vector whose
+    name (a hash) is the smallest; null ids are left out.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "markov")
@@ -261,14 +264,15 @@ def similarity_clusters(vectors: DataFrame, threshold: float = THRESHOLD) -> tup
     rows = rows.filter("article_id is not null and embedding is not null and size(embedding) > 0")
     shape = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     dim, n = shape[0] if shape else (1, 0)
-    rows = rows.filter(F.size("embedding") == dim).groupBy("article_id").agg(F.min("embedding").alias("embedding"))
-    hashed = scratch.table(hashed_vectors(rows, dim, hash_values(n, dim), threshold))
-    different = different_vectors(hashed, scratch)
+    hashed = scratch.table(hashed_vectors(rows.filter(F.size("embedding") == dim), dim, hash_values(n, dim), threshold))
+    # an article in several rows is judged by name, so that no vector is moved for it
+    named = scratch.table(hashed.groupBy("article_id").agg(F.min(F.struct("n1", "n2")).alias("s")).select("article_id", "s.*"))
+    different = different_vectors(hashed, scratch, named)
     units = different.select("vid", "unit")
     edges = scratch.table(near_vectors(different, threshold, scratch).select("x", "y"))
     flows = scratch.table(markov_flow(edges, scratch))
-    named = hashed.select("article_id", "n1", "n2").join(different.select("n1", "n2", "vid"), ["n1", "n2"])
-    held = named.select("article_id", "vid").join(flows.withColumnRenamed("node", "vid"), "vid", "left")
+    placed = named.join(different.select("n1", "n2", "vid"), ["n1", "n2"])
+    held = placed.select("article_id", "vid").join(flows.withColumnRenamed("node", "vid"), "vid", "left")
     held = held.withColumn("attractor", F.coalesce("attractor", "vid")).withColumn("flow", F.coalesce("flow", F.lit(1.0)))
     named = held.groupBy("attractor").agg(F.min("article_id").alias("first_article_id"), F.count("*").alias("size")).filter("size > 1")
     members = scratch.table(held.join(named, "attractor").select("article_id", "first_article_id", "size", "vid", "flow"))
