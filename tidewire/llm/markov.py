@@ -2,7 +2,7 @@
 
 The graph joins vectors with a cosine of at least the threshold.  Its pairs come from a
 cross-polytope hash index over every vector (never all pairs): two vectors are compared if they
-share a bucket in one of the tables and their 128 sign bits are close enough, and then their
+share a bucket in one of the tables and their 256 sign bits are close enough, and then their
 cosine is computed exactly.  The number of tables follows from the chance that a pair at the threshold shares a
 hash value, simulated for the vectors' dimension, so that at most MISS of the pairs at the threshold itself are
 missed, and far fewer above it; the tests measure it against brute force.
@@ -44,7 +44,8 @@ SEED = 20
 MISS = 0.02
 #: Rows that a bucket of vectors without neighbours should hold, at any number of vectors.
 BUCKET_ROWS = 256
-SIGN_BITS = 128
+SIGN_BITS = 256
+SIGNS = [f"s{k}" for k in range(SIGN_BITS // 64)]
 TYPICAL = 3
 
 
@@ -95,7 +96,7 @@ def unit_rows(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(usable, np.int64)[good], (x[good] / norm[good, None]).astype(np.float32)
 
 
-HASHED = "article_id string, n1 long, n2 long, s0 long, s1 long, buckets array<int>, unit array<float>"
+HASHED = "article_id string, n1 long, n2 long, s0 long, s1 long, s2 long, s3 long, buckets array<int>, unit array<float>"
 
 
 def hashed_vectors(vectors: DataFrame, dim: int, values: int, threshold: float = THRESHOLD) -> DataFrame:
@@ -129,7 +130,7 @@ def hashed_vectors(vectors: DataFrame, dim: int, values: int, threshold: float =
                 listed.add(name)
             name = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("article_id").take(pa.array(at)), *map(pa.array, (name[:, 0], name[:, 1], packed[:, 0], packed[:, 1])), _lists(keys, old), _lists(x, old)],
+                [batch.column("article_id").take(pa.array(at)), *map(pa.array, (name[:, 0], name[:, 1], *packed.T)), _lists(keys, old), _lists(x, old)],
                 [c.split()[0] for c in HASHED.split(", ")],
             )
 
@@ -142,9 +143,9 @@ def _lists(values: np.ndarray, null: np.ndarray) -> pa.Array:
 
 
 def different_vectors(hashed: DataFrame, scratch: Scratch, named: DataFrame | None = None) -> DataFrame:
-    """(vid, n1, n2, s0, s1, buckets, unit) once per different vector, of those in ``named`` (n1, n2) where it is given; numbers
+    """(vid, n1, n2, s0 to s3, buckets, unit) once per different vector, of those in ``named`` (n1, n2) where it is given; numbers
     of 64 bits that cannot collide."""
-    only = (F.first(c, ignorenulls=True).alias(c) for c in ("s0", "s1", "buckets", "unit"))
+    only = (F.first(c, ignorenulls=True).alias(c) for c in (*SIGNS, "buckets", "unit"))
     every = hashed.groupBy("n1", "n2").agg(*only)
     every = every if named is None else every.join(named.select("n1", "n2").distinct(), ["n1", "n2"], "left_semi")
     return scratch.table(every.select(F.monotonically_increasing_id().alias("vid"), "*"))
@@ -152,11 +153,11 @@ def different_vectors(hashed: DataFrame, scratch: Scratch, named: DataFrame | No
 
 def near_vectors(different: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Pairs (x, y, cosine) of different vectors, x < y, at or above the threshold."""
-    left, right, on = meeting(different.select("vid", "s0", "s1", F.explode("buckets").alias("bucket")), ["bucket"], "vid", scratch, BLOCK)
+    left, right, on = meeting(different.select("vid", *SIGNS, F.explode("buckets").alias("bucket")), ["bucket"], "vid", scratch, BLOCK)
     a, b = left.alias("a"), right.alias("b")
     met = (
         a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on])
-        .filter((F.col("a.vid") < F.col("b.vid")) & (differing_bits("a", "b", ["s0", "s1"]) <= most_different(threshold)))
+        .filter((F.col("a.vid") < F.col("b.vid")) & (differing_bits("a", "b", SIGNS) <= most_different(threshold)))
         .select(F.col("a.vid").alias("x"), F.col("b.vid").alias("y"))
         .distinct()
     )
