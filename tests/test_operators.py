@@ -81,6 +81,38 @@ def test_annotate_changes_one_column(spark):
     assert contract.same_rows(out.drop("duplicate_family_id"), df.drop("duplicate_family_id"))
 
 
+@pytest.mark.parametrize("hottest", [1, 50_000])
+def test_blocked_pairs_compute_features_once_and_count_as_brute_force(spark, monkeypatch, hottest):
+    monkeypatch.setattr(dedup, "HOTTEST", hottest, raising=False)
+    rng = random.Random(4)
+    made = [(f"a{rng.randrange(1000):04}" if k % 9 else f"a{k % 4}", [rng.randrange(3) for _ in range(2)] + rng.sample(range(60), 5), rng.sample(range(60, 90), 3)) for k in range(120)]
+    made += [(None, [7, 8, 9], [61]), ("z", None, []), ("y", [7, 7, 8], [8])]
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    kind = "article_id string, tp array<long>, dp array<long>"
+    feats = spark.createDataFrame(made, kind).mapInArrow(counted, kind)
+    rules = dedup.Rules(most_articles=9)
+    got = rows_of(dedup.blocked_pairs(feats, rules).select("a", "b", "shared"))
+    assert calls.value == len(made)
+    holders = {}
+    for i, tp, dp in made:
+        for x in set(tp or []) | set(dp) if tp is not None else ():
+            holders.setdefault(x, []).append(i)
+    shared = {}
+    for ids in (x for x in holders.values() if 2 <= len(x) <= 9):
+        for a in ids:
+            for b in ids:
+                if a is not None and b is not None and a < b:
+                    shared[a, b] = shared.get((a, b), 0) + 1
+    assert any(len(x) > 9 for x in holders.values())
+    assert got == sorted(((a, b, n) for (a, b), n in shared.items() if n >= 2), key=repr)
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(1)
     edges = [(f"n{rng.randrange(120):03}", f"n{rng.randrange(120):03}") for _ in range(90)] + [(f"c{k:03}", f"c{k + 1:03}") for k in range(40)] + [("hub", f"h{k}") for k in range(50)]

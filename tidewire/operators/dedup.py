@@ -35,6 +35,8 @@ class Rules:
 
 
 RULES = Rules()
+#: Word pairs of too many articles whose rows are dropped before the shuffle (the rest of them after it), and bytes of a file's dictionary of word pairs.
+HOTTEST, DICTIONARY = 50_000, 8 << 20
 EXACT, COPY, SAME_EVENT, UNRELATED = "EXACT_DUPLICATE", "SYNDICATED_COPY", "SAME_EVENT_INDEPENDENT", "UNRELATED"
 REASONS = {
     "url": "identical_normalized_canonical_url",
@@ -67,14 +69,28 @@ def pair_frequencies(feats: DataFrame) -> DataFrame:
 
 
 def blocked_pairs(feats: DataFrame, rules: Rules = RULES) -> DataFrame:
-    """Candidate pairs (a < b) with the number of shared word pairs."""
-    held = feats.select("article_id", F.explode(F.array_union("tp", "dp")).alias("pair"))
-    useful = pair_frequencies(feats).filter(F.col("articles").between(2, rules.most_articles)).select("pair")
-    index = spread(held.join(useful, "pair"), "pair")  # few bytes, many meetings
-    a, b = index.alias("a"), index.alias("b")
-    met = a.join(b, F.expr("a.pair = b.pair and a.article_id < b.article_id"))
-    shared = met.groupBy(F.col("a.article_id").alias("a"), F.col("b.article_id").alias("b")).agg(F.count("*").alias("shared"))
-    return shared.filter(F.col("shared") >= rules.min_shared)
+    """Candidate pairs (a < b) with the number of shared word pairs.
+
+    The features are computed once and articles go by the number of their row.  The rows of the most frequent word pairs are most of
+    all and stay where they are; of the others, each article gets the articles after it in the lists of its word pairs, and counts them.
+    """
+    stage = Stage(feats.sparkSession, "blocking")
+    rows = feats.select("article_id", F.array_union("tp", "dp").alias("pairs")).withColumn("n", F.monotonically_increasing_id())
+    rows = stage.write(rows, **{"parquet.dictionary.page.size": DICTIONARY})  # once written, the numbers stay
+    counts = stage.write(rows.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("articles")).filter("articles > 1"))
+    hottest = counts.filter(F.col("articles") > rules.most_articles).orderBy(F.desc("articles"), "pair").limit(HOTTEST).select("pair")
+    useful = counts.filter(F.col("articles") <= rules.most_articles).select("pair")
+    held = rows.filter("article_id is not null").select("n", F.explode("pairs").alias("pair")).join(F.broadcast(hottest), "pair", "left_anti").join(useful, "pair")
+    repeated = rows.groupBy("article_id").agg(F.min("n").alias("first"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    if not repeated.isEmpty():  # rows of one id count as one article
+        same = rows.select("article_id", "n").join(repeated, "article_id").select("n", "first")
+        held = held.join(same, "n", "left").select(F.coalesce("first", "n").alias("n"), "pair")
+    lists = held.groupBy("pair").agg(F.array_sort(F.collect_list("n")).alias("ns"))  # of at most most_articles
+    after = lists.select("ns", F.posexplode("ns").alias("i", "a")).filter(F.col("i") < F.size("ns") - 1)
+    after = spread(after.select("a", F.slice("ns", F.col("i") + 2, F.size("ns")).alias("bs")), "a")  # few bytes, many meetings
+    shared = after.select("a", F.explode("bs").alias("b")).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= rules.min_shared)
+    named = lambda s: rows.select(F.col("n").alias(s), F.col("article_id").alias(f"{s}_id"))
+    return shared.join(named("a"), "a").join(named("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "shared")
 
 
 def groups_alike(feats: DataFrame, key: Column, reason: str) -> DataFrame:

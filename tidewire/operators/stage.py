@@ -55,10 +55,10 @@ class Stage:
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._tables = 0
 
-    def write(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    def write(self, df: DataFrame, partition_by: str | None = None, **options: str | int) -> DataFrame:
         self._tables += 1
         path = f"{self.root}/t{self._tables}"
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("overwrite").options(**options)
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         if self._tables == 1:
             files, root = self._files(self.root)
