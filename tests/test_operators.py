@@ -213,6 +213,37 @@ def test_sweep_gives_every_setting_its_own_figures(spark):
         assert row["singleton_article_share"] == round(alone["singleton_events"] / alone["total_articles"], 4)
 
 
+def test_one_run_over_a_component_gives_the_clusters_of_every_setting():
+    rng = np.random.default_rng(6)
+    thresholds, windows = (0.02, 0.05, 0.1), (3.0, 5.0, 10.0)
+    for n, widest, days in [(2, 20, 4), (3, 3, 2), (9, 40, 12), (40, 90, 15)]:
+        angles, times = np.radians(rng.uniform(0, widest, n)), rng.uniform(0, days, n)
+        x = np.stack([np.cos(angles), np.sin(angles)], 1)
+        found = cluster.swept(x, times, thresholds, windows, cluster.LINKAGES)
+        assert len({tuple(m) for m, _ in found}) == len(found)
+        for bit, (t, w, k) in enumerate((t, w, k) for t in thresholds for w in windows for k in cluster.LINKAGES):
+            label = cluster.agglomerate(x, times, t, w, k)
+            assert sorted(m.tolist() for m, bits in found if bits >> bit & 1) == sorted(np.flatnonzero(label == r).tolist() for r in set(label))
+
+
+def test_near_join_holds_a_unit_twice_at_most(spark):
+    rng = np.random.default_rng(7)
+    df = units(spark, rng.uniform(0, 60, 60), [float(x) for x in rng.uniform(0, 30, 60).round(2)])
+    assert cluster.block_pairs(df, 5.0).count() <= 2 * df.count()
+
+
+def test_sweep_with_unknown_times_and_publishers(spark):
+    df, vectors = events(spark, [0, 3, 6, 90, 93, 180, 270, 270, 45], [0, 1, 2, 3, 4, 5, 6, 6, 7], {0: "f", 5: "f", 3: "g", 8: "g"}, {0: None, 1: "a", 2: "b", 3: None, 4: None, 6: "a", 7: "a"})
+    late = F.col("article_id").isin("a6", "a8")
+    df = df.withColumns({c: F.when(~late, F.col(c)) for c in ("published_at", "first_seen_at")}).drop("event_cluster_id")
+    vectors = vectors.filter("article_id <> 'a8'")
+    out = cluster.propagate(df, cluster.cluster(cluster.units(df, vectors), 0.3, 5.0, "average"))
+    alone = cluster.metrics(cluster.summaries(out, vectors)).head().asDict()
+    row = cluster.sweep(df, vectors, (0.3,), (5.0,), ("average",)).head().asDict()
+    assert {k: v for k, v in row.items() if k in alone} == {k: v for k, v in alone.items() if k in row}
+    assert alone["cross_publisher_events"] and alone["multi_article_events"] > 1
+
+
 def test_nearest_pair_is_the_brute_force_minimum(spark):
     angles = [0, 4, 30, 34, 60, 64, 120, 125, 200]
     df, vectors = events(spark, angles, [0] * len(angles))

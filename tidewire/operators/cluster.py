@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +22,16 @@ from .stage import Stage
 
 GATED = 2.0
 LINKAGES = ("average", "complete")
-#: Units whose vectors are multiplied at a time, and units of one component beyond which clustering it is an error:
+#: Units of a block, of which a task holds two (some 200 MB), and units of one component beyond which clustering it is an error:
 #: its distances are held by one task (800 MB).
-BLOCK, MOST_UNITS = 2_000, 10_000
+BLOCK, MOST_UNITS = 65_536, 10_000
+#: Vectors multiplied at a time, near pairs of them from which all their distances are taken again exactly, and units that the sweep clusters in one call.
+TILE, DENSE, LOT = (512, 2_048), 65_536, 4_096
 #: The grid of the sweep and its row of the setting used before.
 THRESHOLDS, WINDOWS = (0.20, 0.25, 0.30, 0.35), (3.0, 5.0, 10.0)
 BASELINE = (0.35, 10.0, "average")
+#: Columns of a cluster of the sweep: publishers are 1 or 2 (several), ``square`` is of the sum of its ``k`` unit vectors.
+EVENT = ["bits", "cluster_size", "n_publishers", "first", "last", "square", "k"]
 
 
 def with_event_time(articles: DataFrame) -> DataFrame:
@@ -57,7 +62,8 @@ def block_pairs(found: DataFrame, window_days: float) -> DataFrame:
     """``found`` once for every pair of blocks that it is in: ``k``, ``p``, ``ahead``, ``q`` (block p of time bucket k meets
     block q of the bucket ``ahead`` of it) and ``side`` (0: of the first block).
 
-    A bucket is divided into blocks of at most about BLOCK units, so its size does not bound a task.
+    A bucket is divided into blocks of at most about BLOCK units, so its size does not bound a task.  A block meets itself where it
+    meets the first block of the next bucket, and on its own only if there is none.
     """
     keyed = found.filter("day is not null").withColumn("k", F.floor(F.col("day") / window_days))
     sizes = keyed.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))  # a row per stretch of the window
@@ -71,7 +77,7 @@ def block_pairs(found: DataFrame, window_days: float) -> DataFrame:
 
     to = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     places = F.concat(
-        met(F.sequence(F.col("own"), F.col("m") - 1), F.col("k"), True, 0),
+        met(F.filter(F.sequence(F.lit(0), F.col("m") - 1), lambda x: (x > F.col("own")) | (x == F.col("own")) & F.col("after").isNull()), F.col("k"), True, 0),
         met(to(F.col("own")), F.col("k"), False, 0),
         met(to(F.col("after")), F.col("k"), True, 1),
         met(to(F.col("before")), F.col("k") - 1, False, 1),
@@ -82,48 +88,78 @@ def block_pairs(found: DataFrame, window_days: float) -> DataFrame:
 def near_units(found: DataFrame, threshold: float, window_days: float) -> DataFrame:
     """Pairs (a < b, distance, gap) of units closer than ``threshold`` whose days are at most ``window_days`` apart.
 
-    Units of unknown time are near nothing.
+    Units of unknown time are near nothing.  Products in single precision leave out what is surely too far; the distances of the rest
+    are in double precision.
     """
 
     def near(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        names, day = np.array(table.column("unit").to_pylist(), object), table.column("day").to_numpy()
-        vectors = table.column("vector").combine_chunks()
-        x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(names), -1)
-        left = np.flatnonzero(side == 0)
-        alone = table.column("ahead")[0].as_py() == 0 and table.column("p")[0].as_py() == table.column("q")[0].as_py()
-        right = left if alone else np.flatnonzero(side == 1)
-        distance = np.clip(1.0 - x[left] @ x[right].T, 0.0, 2.0)
-        gap = np.abs(day[left][:, None] - day[right][None, :])
-        i, j = np.nonzero((distance < threshold) & (gap <= window_days))
-        if alone:
-            i, j = i[i < j], j[i < j]
-        u, v = names[left[i]], names[right[j]]
-        swap = u > v
-        columns = [np.where(swap, v, u), np.where(swap, u, v), distance[i, j], gap[i, j]]
-        return pa.table([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), *map(pa.array, columns[2:])], ["a", "b", "distance", "gap"])
+        table = table.combine_chunks().sort_by("day")
+        side, day, names = table.column("side").to_numpy(), table.column("day").to_numpy(), table.column("unit").combine_chunks()
+        x = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(names), -1)
+        rough, least = x.astype(np.float32), 1.0 - threshold - 2e-7 * (x.shape[1] + 8)
+        p, ahead, q = (table.column(c)[0].as_py() for c in ("p", "ahead", "q"))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        meetings = [(left, left)] if ahead == 0 and p == q else [(left, right), (left, left)] if ahead == 1 and q == 0 else [(left, right)]
+        found_i, found_j, found_d = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
+        for rows, columns in meetings:
+            for at in range(0, len(rows), TILE[0]):
+                i = rows[at : at + TILE[0]]
+                low = at if rows is columns else np.searchsorted(day[columns], day[i[0]] - window_days - 1e-6)
+                high = np.searchsorted(day[columns], day[i[-1]] + window_days + 1e-6, "right")
+                for start in range(low, high, TILE[1]):
+                    j = columns[start : min(start + TILE[1], high)]
+                    u, v = np.divmod(np.flatnonzero(rough[i] @ rough[j].T > least), len(j))
+                    if len(u) > DENSE:
+                        distance = np.clip(1.0 - x[i] @ x[j].T, 0.0, 2.0)
+                        u, v = np.nonzero(distance < threshold)
+                        distance = distance[u, v]
+                    else:
+                        distance = np.clip(1.0 - np.einsum("nd,nd->n", x[i[u]], x[j[v]]), 0.0, 2.0)
+                    u, v = i[u], j[v]
+                    kept = (distance < threshold) & (np.abs(day[u] - day[v]) <= window_days)
+                    if rows is columns:
+                        kept &= u < v
+                    found_i.append(u[kept]), found_j.append(v[kept]), found_d.append(distance[kept])
+        i, j, distance = map(np.concatenate, (found_i, found_j, found_d))
+        u, v = names.take(pa.array(i)), names.take(pa.array(j))
+        swap = pc.greater(u, v)
+        return pa.table([pc.if_else(swap, v, u), pc.if_else(swap, u, v), pa.array(distance), pa.array(np.abs(day[i] - day[j]))], ["a", "b", "distance", "gap"])
 
     return block_pairs(found, window_days).groupBy("k", "p", "ahead", "q").applyInArrow(near, "a string, b string, distance double, gap double")
 
 
 def agglomerate(vectors: np.ndarray, times: np.ndarray, threshold: float, window_days: float, linkage: str) -> np.ndarray:
-    """Labels of one component: the closest two clusters merge while their distance is below the threshold.
+    """Labels of one component: the closest two clusters merge while their distance is below the threshold."""
+    return agglomerations(gated(vectors, times, window_days), (threshold,), linkage)[0]
 
-    Each row's nearest is kept, so a merge costs a row and the rows whose nearest it was.
-    """
+
+def gated(vectors: np.ndarray, times: np.ndarray, window_days: float) -> np.ndarray:
+    """Distances of one component's units; those too far apart in time have GATED."""
     if len(vectors) > MOST_UNITS:
         raise ValueError(f"{len(vectors)} units hang together, more than {MOST_UNITS}: use a smaller threshold or window")
     x = np.asarray(vectors, np.float64)
     distance = np.clip(1.0 - x @ x.T, 0.0, 2.0)
     distance[~(np.abs(times[:, None] - times[None, :]) <= window_days)] = GATED
     np.fill_diagonal(distance, np.inf)
-    label, size = np.arange(len(x)), np.ones(len(x))
+    return distance
+
+
+def agglomerations(distance: np.ndarray, thresholds: tuple[float, ...], linkage: str) -> list[np.ndarray]:
+    """Labels under each of the ascending thresholds, from one run: up to where it stops, a run is the same under a larger one.
+    ``distance`` is written over.
+
+    Each row's nearest is kept, so a merge costs a row and the rows whose nearest it was.
+    """
+    label, size = np.arange(len(distance)), np.ones(len(distance))
     nearest = distance.argmin(1)
-    least = distance[np.arange(len(x)), nearest]
-    while len(x) > 1:
+    least = distance[np.arange(len(distance)), nearest]
+    labels: list[np.ndarray] = []
+    while True:
         i = int(least.argmin())
-        if not least[i] < threshold:
-            break
+        while len(labels) < len(thresholds) and not least[i] < thresholds[len(labels)]:
+            labels.append(label.copy())
+        if len(labels) == len(thresholds):
+            return labels
         i, j = sorted((i, int(nearest[i])))
         joined = np.maximum(distance[i], distance[j]) if linkage == "complete" else (size[i] * distance[i] + size[j] * distance[j]) / (size[i] + size[j])
         distance[i], distance[:, i] = joined, joined
@@ -138,7 +174,38 @@ def agglomerate(vectors: np.ndarray, times: np.ndarray, threshold: float, window
         stale = np.union1d(stale, [i, j])
         nearest[stale] = distance[stale].argmin(1)
         least[stale] = distance[stale, nearest[stale]]
-    return label
+
+
+def swept(vectors: np.ndarray, times: np.ndarray, thresholds: tuple[float, ...], windows: tuple[float, ...], linkages: tuple[str, ...]) -> list[tuple[np.ndarray, int]]:
+    """The different clusters (places of their units) of one component under all settings, each with the sum of the bits of its settings.
+
+    Settings are numbered by threshold, window and linkage; thresholds ascend.
+    """
+    every = (1 << len(thresholds) * len(windows) * len(linkages)) - 1
+    gap = np.abs(times[:, None] - times[None, :])
+    widest, base = gap.max(), gated(vectors, times, np.inf)
+    if widest <= min(windows) and base[~np.eye(len(base), dtype=bool)].max() < thresholds[0]:
+        return [(np.arange(len(base)), every)]
+    ways: dict[bytes, int] = {}
+    done: dict[tuple[float, str], list[np.ndarray]] = {}
+    for w, window in enumerate(windows):
+        for k, linkage in enumerate(linkages):
+            same = (min(window, widest), linkage)
+            if same not in done:
+                distance = base.copy()
+                distance[~(gap <= window)] = GATED
+                np.fill_diagonal(distance, np.inf)
+                done[same] = agglomerations(distance, thresholds, linkage)
+            for t, label in enumerate(done[same]):
+                key = label.tobytes()
+                ways[key] = ways.get(key, 0) | 1 << (t * len(windows) + w) * len(linkages) + k
+    clusters: dict[bytes, int] = {}
+    for key, bits in ways.items():
+        label = np.frombuffer(key, int)
+        for root in np.unique(label):
+            members = np.flatnonzero(label == root).tobytes()
+            clusters[members] = clusters.get(members, 0) | bits
+    return [(np.frombuffer(members, int), bits) for members, bits in clusters.items()]
 
 
 def cluster(found: DataFrame, threshold: float = 0.30, window_days: float = 5.0, linkage: str = "complete") -> DataFrame:
@@ -223,34 +290,61 @@ def size_distribution(summary: DataFrame) -> DataFrame:
 
 
 def sweep(articles: DataFrame, vectors: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, windows: tuple[float, ...] = WINDOWS, linkages: tuple[str, ...] = LINKAGES) -> DataFrame:
-    """The run figures of each setting, all from one join at the loosest.
+    """The run figures of each setting, all from one join and the components at the loosest.
 
-    Components and clusters of all settings come out together: an id is the number of its setting and the unit.
+    A component is clustered under all settings at once, and what a cluster's figures need comes from sums of its units: each
+    different cluster is one row with a bit for each of its settings, and so is a unit that is near no other.
     """
-    spark = articles.sparkSession
+    thresholds, spark = tuple(sorted(thresholds)), articles.sparkSession
+    grid = [(1 << n, *x) for n, x in enumerate((t, w, k) for t in thresholds for w in windows for k in linkages)]
+    if len(grid) > 62:
+        raise ValueError(f"{len(grid)} settings, more than the 62 bits that mark them")
+    settings = F.broadcast(spark.createDataFrame(grid, "bit long, distance_threshold double, window_days double, linkage string"))  # the grid is a parameter
     stage = Stage(spark, "sweep")
     found = stage.write(units(articles, vectors))
-    gates = spark.createDataFrame([(k, t, w) for k, (t, w) in enumerate((t, w) for t in thresholds for w in windows)], "gate int, distance_threshold double, window_days double")
-    settings = F.broadcast(gates.crossJoin(spark.createDataFrame([(x,) for x in linkages], "linkage string")))  # the grid is a parameter
-    pairs = stage.write(near_units(found, max(thresholds), max(windows)))
-    held = pairs.crossJoin(F.broadcast(gates)).filter((F.col("distance") < F.col("distance_threshold")) & (F.col("gap") <= F.col("window_days")))
-    parts = components(held.select(F.concat_ws("|", "gate", "a").alias("a"), F.concat_ws("|", "gate", "b").alias("b")))
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("unit", ignore_index=True)
-        gate, threshold, window, linkage = part.loc[0, ["gate", "distance_threshold", "window_days", "linkage"]]
-        label = agglomerate(np.stack(part["vector"]), part["day"].to_numpy(float), threshold, window, linkage)
-        return pd.DataFrame({"gate": gate, "linkage": linkage, "unit": part["unit"], "cluster": part["unit"].to_numpy()[label]})
-
-    inside = found.crossJoin(settings).withColumn("id", F.concat_ws("|", "gate", "unit")).join(parts, "id")
-    inside = inside.select("gate", "distance_threshold", "window_days", "linkage", "component", "unit", "day", "vector")
-    clusters = stage.write(inside.groupBy("gate", "linkage", "component").applyInPandas(one, "gate int, linkage string, unit string, cluster string"))
-    # as in propagate, but an event is named by its setting and cluster: one name for all settings would mix them
-    placed = articles.drop("event_cluster_id").withColumn("unit", unit_key()).crossJoin(settings.select("gate", "linkage")).join(clusters, ["gate", "linkage", "unit"], "left")
-    named = placed.withColumn("event_cluster_id", F.concat_ws("|", "gate", "linkage", F.coalesce("cluster", "unit")))
-    summary = summaries(named.drop("gate", "linkage", "unit", "cluster"), vectors)
-    at = F.split("event_cluster_id", r"\|", 3)
-    figures = metrics(summary.withColumn("gate", at[0].cast("int")).withColumn("linkage", at[1]), "gate", "linkage").join(settings, ["gate", "linkage"])
+    timed = with_event_time(articles).withColumn("unit", unit_key())
+    facts = timed.groupBy("unit").agg(
+        F.count("*").alias("articles"), F.min("publisher_domain").alias("low"), F.max("publisher_domain").alias("high"),
+        F.unix_micros(F.min("event_time")).alias("first"), F.unix_micros(F.max("event_time")).alias("last"),
+    )
+    # as in mean_similarity; the sum of a unit of one vector is that vector
+    cells = timed.select("article_id", "unit").join(found.filter("n > 1").select("unit"), "unit").join(vectors.filter("embedding is not null"), "article_id").select("unit", F.posexplode(unit(F.col("embedding"))).alias("d", "x"))
+    sums = cells.groupBy("unit", "d").agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("s"), F.count("*").alias("vectors")).groupBy("unit")
+    sums = sums.agg(F.max("vectors").alias("vectors"), F.transform(F.array_sort(F.collect_list(F.struct("d", "s"))), lambda c: c["s"]).alias("sums"))
+    facts = stage.write(facts.join(sums, "unit", "left"))
+    parts = components(stage.write(near_units(found, max(thresholds), max(windows)).select("a", "b"))).select(F.col("id").alias("unit"), "component")
+
+    def lot(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("component", "ascending"), ("unit", "ascending")])
+        wide = lambda c, rows: table.column(c).combine_chunks().take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        x, day = wide("vector", np.arange(len(table))), table.column("day").to_numpy()
+        total, several = x.copy(), np.flatnonzero(table.column("vectors").is_valid().to_numpy())
+        if len(several):
+            total[several] = wide("sums", several)
+        count = lambda c, null: table.column(c).fill_null(null).to_numpy()
+        lowest, highest = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+        names = pc.unique(pa.chunked_array(table.column("low").chunks + table.column("high").chunks, pa.string())).drop_null().sort()
+        place = lambda c, null: pc.index_in(table.column(c), names).fill_null(null).to_numpy()
+        component = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+        edges = np.flatnonzero(np.diff(component, prepend=-1, append=-1))
+        clusters = [(a + members, bits) for a, b in zip(edges, edges[1:]) for members, bits in swept(x[a:b], day[a:b], thresholds, windows, linkages)]
+        at, starts = np.concatenate([m for m, _ in clusters]), np.cumsum([0] + [len(m) for m, _ in clusters[:-1]])
+        of = lambda how, values: how.reduceat(values[at], starts)
+        k, first, last = of(np.add, count("vectors", 1)), of(np.minimum, count("first", highest)), of(np.maximum, count("last", lowest))
+        low, high, square = of(np.minimum, place("low", len(names))), of(np.maximum, place("high", -1)), (np.add.reduceat(total[at], starts) ** 2).sum(1)
+        unknown = first > last
+        columns = [pa.array([b for _, b in clusters]), pa.array(of(np.add, count("articles", 0))), pa.array(np.where(low < high, 2, 1)), pa.array(first, mask=unknown), pa.array(last, mask=unknown), pa.array(square), pa.array(k)]
+        return pa.table([c.cast(pa.float64() if n == "square" else pa.int64()) for n, c in zip(EVENT, columns)], EVENT)
+
+    inside = found.join(parts, "unit").join(facts, "unit").withColumn("lot", F.pmod(F.xxhash64("component"), F.lit(1 + parts.count() // LOT)))
+    met = inside.groupBy("lot").applyInArrow(lot, ", ".join(f"{c} {'double' if c == 'square' else 'long'}" for c in EVENT))
+    square = F.aggregate("sums", F.lit(0.0), lambda a, c: a + c * c)
+    alone = facts.join(parts, "unit", "left_anti").select(F.lit((1 << len(grid)) - 1).cast("long").alias("bits"), F.col("articles").alias("cluster_size"), F.when(F.col("low") < F.col("high"), 2).otherwise(1).cast("long").alias("n_publishers"), "first", "last", square.alias("square"), F.col("vectors").alias("k"))
+    day_of = lambda c: F.col(c) / F.lit(86_400_000_000.0)
+    similarity = F.when(F.col("k") > 1, (F.col("square") - F.col("k")) / (F.col("k") * (F.col("k") - 1)))
+    events = met.unionByName(alone).withColumn("span_days", F.round(day_of("last") - day_of("first"), 3)).withColumn("mean_intra_similarity", F.round(similarity, 4))
+    summary = events.withColumn("event_cluster_id", F.lit("")).crossJoin(settings.select("bit")).filter(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    figures = metrics(summary, "bit").join(settings, "bit")
     share = 1 - F.col("articles_in_multi_article_events") / F.col("total_articles")
     previous = F.struct("distance_threshold", "window_days", "linkage") == F.struct(*map(F.lit, BASELINE))
     return figures.select(
